@@ -71,18 +71,20 @@ HINT = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 BASE = ("email", "ip", "card", "phone")
 
 
-def spans_of(text: Column, kind: str) -> Column:
+def matches_of(text: Column, kind: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    if kind in HINT:
+        found = F.when(F.contains(text, F.lit(HINT[kind])), found)
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def spans_of(text: Column, found: Column, kind: str) -> Column:
     """An array of (start, end, score), in code points with the end exclusive, of the confirmed spans of a kind.
 
     The pieces between matches and the matches themselves, laid end to end, give the positions: split and
     extract_all find the same matches, and both are part of Spark's expressions.
     """
-    pattern = PATTERNS[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if kind in HINT:
-        found = F.when(F.contains(text, F.lit(HINT[kind])), found)
-    found = F.coalesce(found, F.array().cast("array<string>"))
-    pieces = F.split(text, pattern, -1)
+    pieces = F.split(text, PATTERNS[kind], -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,score:double>>").alias("out"))
 
     def score(piece: Column) -> Column:
@@ -116,7 +118,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
-    return rows.select("doc_id", *[spans_of(F.col("_text"), kind).alias(kind) for kind in PATTERNS])
+    matched = rows.select("doc_id", "_text", *[matches_of(F.col("_text"), kind).alias(f"_{kind}") for kind in PATTERNS])
+    return matched.select("doc_id", *[spans_of(F.col("_text"), F.col(f"_{kind}"), kind).alias(kind) for kind in PATTERNS])
 
 
 def joined(kinds: tuple[str, ...]) -> Column:
