@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's modules to the executors, once a session, so that Python workers find them
+    wherever they are started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidewater_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    if top.is_dir():
+        to = os.path.join(tempfile.mkdtemp(prefix="tidewater-"), f"tidewater-{uuid.uuid4().hex[:8]}.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(to)
+    sc._tidewater_shipped = True
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and a lost
     executor costs no more than the tasks it was running."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op3_mixing
 from .pii import op4_pii
+from .substrings import op10_substrings
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op4_pii": op4_pii}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op10_substrings": op10_substrings}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
