@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op3_mixing
+from .near_dedup import op9_near_dedup
 from .pii import op4_pii
 from .substrings import op10_substrings
+from .topk import OP2_SQL, op2_topk
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op10_substrings": op10_substrings}
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op10_substrings": op10_substrings, "op9_near_dedup": op9_near_dedup, "op2_topk": op2_topk}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL}
