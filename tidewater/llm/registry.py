@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op4_pii
+from .quality import op8_quality
 from .substrings import op10_substrings
 from .topk import OP2_SQL, op2_topk
+from .toxicity import op5_toxicity
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op4_pii": op4_pii, "op10_substrings": op10_substrings, "op9_near_dedup": op9_near_dedup, "op2_topk": op2_topk}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_topk": op2_topk,
+    "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
+    "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_substrings": op10_substrings,
+}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL}
