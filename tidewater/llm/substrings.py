@@ -43,7 +43,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 def pack(words: np.ndarray, docs: np.ndarray, keys: np.ndarray, firsts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> bytes:
     """One bucket's share of a chunk: columns of numbers, then the packed strings."""
     parts = [docs.astype("<i8"), keys.astype("<u2"), firsts.astype("<i4"), counts.astype("<i4"), sizes.astype("<i4"), text]
-    return struct.pack("<i", len(docs)) + zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    return struct.pack("<i", len(docs)) + zstandard.ZstdCompressor(level=5).compress(b"".join(p.tobytes() for p in parts))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -216,7 +216,7 @@ def drop_spans(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[p
         yield pa.RecordBatch.from_arrays(out, names=names)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, minimiser: int = 5, with_text: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, minimiser: int = 3, with_text: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_removed, kept_sha256`` and, where asked for, ``kept_text``.
 
     A window is ``length`` consecutive words of one document; each word covered by a window whose words
