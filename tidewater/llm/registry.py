@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .html_blocks import op6_html
 from .mixing import op3_mixing
 from .near_dedup import op9_near_dedup
 from .pii import op4_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_html": op6_html,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
