@@ -20,7 +20,7 @@ SAMPLES = BANDS * ROWS
 #: of similarity 0.85 differ in more than 33 of 80 samples with a probability below 1e-7.
 SKETCH_BITS, MOST_BITS = 512, 66
 #: Members of a star that one group verifies, and members of a bucket that one block compares.
-STAR, BLOCK = 512, 1024
+STAR, BLOCK = 512, 512
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,30 +113,37 @@ def verify_stars(batches: Iterator[pa.RecordBatch], shingle: int, percent: int)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """One pair of blocks of a bucket: the pairs of different components that sizes and sketches allow."""
+def compare_blocks(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """One pair of blocks of a bucket: links between its components, confirmed on full sets. Pairs inside a
+    component, also one that has just grown together here, are passed over; so at most one link a member comes out."""
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
     side = table["side"].to_numpy()
-    comp = table["comp"].to_pylist()
     digest = table["digest"].to_pylist()
-    names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
-    comp_no = np.array([names[c] for c in comp])
-    n = table["n"].to_numpy()
-    sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
-    left = np.flatnonzero(side != 2)
+    names: dict[bytes, int] = {}
+    comp = np.array([names.setdefault(c, len(names)) for c in table["comp"].to_pylist()])
+    sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(comp), -1)
+    hashes, n = shingle_sets(table["text"].combine_chunks(), shingle)
+    at = np.cumsum(n) - n
     right = np.flatnonzero(side != 1)
     one_block = bool((side == 0).all())
-    out_a, out_b = [], []
-    for i in left:
+    out: list[tuple[bytes, bytes]] = []
+    for i in np.flatnonzero(side != 2):
         js = right[right > i] if one_block else right
-        js = js[(comp_no[js] != comp_no[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+        js = js[(comp[js] != comp[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
         if len(js):
             js = js[np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= MOST_BITS]
-        out_a += [min(digest[i], digest[j]) for j in js]
-        out_b += [max(digest[i], digest[j]) for j in js]
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+        if not len(js):
+            continue
+        own, others = hashes[at[i] : at[i] + n[i]], hashes[ranges(at[js], n[js])]
+        found = own[np.minimum(np.searchsorted(own, others), n[i] - 1)] == others
+        both = np.bincount(np.repeat(np.arange(len(js)), n[js]), weights=found, minlength=len(js))
+        for j in js[100 * both >= percent * (n[i] + n[js] - both)]:
+            if comp[j] != comp[i]:
+                out.append((digest[i], digest[j]))
+                comp[comp == comp[j]] = comp[i]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,10 +182,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets form one class from the start, however many documents share it. Of the classes' MinHash samples, bands of
     four give buckets and all together an odd sketch: a bitmap of parities whose differing bits count the
-    samples that differ. In each bucket all are first held against its least member; what the sketches allow is
+    samples that differ. In each bucket all are first held against its hub; what the sketches allow is
     confirmed on full sets. Then buckets that still hold several components compare these with each
-    other, in blocks, so that no link between different texts depends on the choice of that member; inside a
-    component nothing is compared. Hot keys: copies meet in partial aggregates; stars and blocks are split.
+    other, in blocks, again by sketch and then by full sets, so that no link between different texts depends on
+    the choice of the hub; inside a component nothing is compared, and each block gives a spanning set of links, not all
+    pairs. Hot keys: copies meet in partial aggregates; stars and blocks are split.
 
     Percentages from 80 are served by the bands' design (at 80 a pair is missed with a probability below 4e-5).
     Nulls: a null or wordless text has an empty set and is linked with nothing; a null identifier counts as the largest.
@@ -194,8 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "near-classes",
     )
     banded = classes.select("digest", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = save(banded.join(buckets, "band"), "near-members")
+    # a bucket's hub is the member that most others share bands with: in a group of near copies, the text they go back to
+    weights = members.groupBy("digest").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weights, "digest").groupBy("band").agg(F.max(F.struct("weight", "digest")).alias("top")).select("band", F.col("top.digest").alias("hub"))
+    members = save(members.join(hubs, "band"), "near-members")
     about = classes.select("digest", "n", "sketch")
     first = members.where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
     sketched = first.join(about.toDF("a", "a_n", "a_s"), "a").join(about.toDF("b", "b_n", "b_s"), "b")
@@ -206,17 +218,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is left: pairs of different components in one bucket
     labelled = members.join(label.withColumnRenamed("v", "digest"), "digest", "left").withColumn("comp", F.coalesce("c", "digest"))
     mixed = labelled.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
-    # the least member has met all the others
-    left = save(labelled.where("digest != hub and size > 2").join(mixed, "band", "left_semi").join(about, "digest").select("band", "size", "digest", "comp", "n", "sketch"), "near-left")
+    # the hub has met all the others
+    left = labelled.where("digest != hub and size > 2").join(mixed, "band", "left_semi").select("band", "size", "digest", "comp")
+    left = save(left, "near-left")
+    texts = left.select("digest").distinct().join(classes.select("digest", "id", "tkey", "sketch"), "digest").join(rows, ["id", "tkey"]).select("digest", "sketch", "text").dropDuplicates(["digest"])
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("digest"), n_blocks).cast("int")
     with_block = left.withColumn("blocks", n_blocks).withColumn("own", own)
     dealt = with_block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "digest", "comp", "n", "sketch",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "digest", "comp",
     )
-    second = dealt.groupBy("band", "low", "high").applyInArrow(_block_comparer(percent), "a binary, b binary").distinct()
-    more = save(confirm(save(second, "near-pairs"), classes, rows, shingle, percent), "near-links")
+    second = dealt.join(texts, "digest").groupBy("band", "low", "high").applyInArrow(_block_comparer(shingle, percent), "a binary, b binary")
+    more = save(second.distinct(), "near-links")
     named = label.withColumnRenamed("v", "x")
     over = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
     joined = components(over)
@@ -236,9 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(restored("id").alias("doc_id"), F.col("n").alias("n_shingles"), restored("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _block_comparer(percent: int):
+def _block_comparer(shingle: int, percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return compare_blocks(batches, percent)
+        return compare_blocks(batches, shingle, percent)
 
     return compare
 
