@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, save
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", shards: int = 1024, prefix: int = 24) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", shards: int = 256, prefix: int = 24) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are normalised (A-Z lower-cased, null taken as empty). Spark's range partitioner samples
