@@ -62,7 +62,7 @@ class QueryHandle:
     def cancel(self) -> None:
         if not self.status.final:
             self._asked = True
-            self.engine.spark.interruptTag(self.tag)
+            self.engine.spark.sparkContext.cancelJobGroup(self.tag)
 
     def rows(self) -> Result:
         if self.status is not Status.COMPLETE:
@@ -77,7 +77,7 @@ class QueryHandle:
 
     def _run(self, df: DataFrame) -> None:
         spark = self.engine.spark
-        spark.addTag(self.tag)
+        spark.sparkContext.setJobGroup(self.tag, self.text, interruptOnCancel=True)
         self.status = Status.RUNNING
         try:
             path = f"{self.engine.connections.use(spark, self.engine.results).url}/query_results/{self.id}"
@@ -91,7 +91,6 @@ class QueryHandle:
             self.error = str(e)
             self.status = Status.CANCELLED if getattr(self, "_asked", False) else Status.ERROR
         finally:
-            spark.removeTag(self.tag)
             self._done.set()
 
 

@@ -47,6 +47,10 @@ class UnknownFunctionError(EngineError):
     """No table function of that name."""
 
 
+class UnknownTableError(EngineError):
+    """No table or view of that name in the session."""
+
+
 class ConnectionConfigError(EngineError):
     """A connection is unknown, named twice or wrongly described."""
 

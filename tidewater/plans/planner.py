@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ColumnNotFoundError
+from ..errors import ColumnNotFoundError, UnknownTableError
 from .ir import Item, Name, Select, Star, Table
 from .lower import Scope, lower, predicate
 
@@ -13,7 +13,10 @@ from .lower import Scope, lower, predicate
 def source_of(engine, select: Select) -> DataFrame:
     source = select.source
     if isinstance(source, Table):
-        return engine.spark.table("`" + source.name.replace("`", "``") + "`")
+        name = "`" + source.name.replace("`", "``") + "`"
+        if not engine.spark.catalog.tableExists(name):
+            raise UnknownTableError(f"no table {source.name}")
+        return engine.spark.table(name)
     function = engine.functions.get(source.function)
     return function.build(engine, function.validate(source.arguments))
 

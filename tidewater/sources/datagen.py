@@ -38,5 +38,5 @@ def write_sample(spark: SparkSession, folder: str, name: str, seed: int = 1) ->
     about = SAMPLE_SETS[name]
     files = -(-about.rows // about.rows_per_file)
     part = F.floor(F.col("id") / about.rows_per_file).cast("int")
-    rows = sample_rows(spark, about, seed).repartitionByRange(files, "id")
-    rows.withColumn("part", part + 1).sortWithinPartitions("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")
+    rows = sample_rows(spark, about, seed).withColumn("part", part + 1).repartition(files, "part")
+    rows.sortWithinPartitions("part", "id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -46,9 +47,12 @@ def build(engine, asked: ReadFiles) -> DataFrame:
     if not paths:
         return engine.spark.createDataFrame([], T.StructType([]))
     ending = paths[0].rpartition(".")[2].lower()
+    # the paths are found already: what Spark's own globs would take for patterns is escaped
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    reader = engine.spark.read
     if ending in FORMATS and all(p.lower().endswith("." + ending) for p in paths):
-        return engine.spark.read.format(ending).options(**FORMATS[ending]).load(paths)
-    return engine.spark.read.parquet(*paths)
+        return reader.format(ending).options(**FORMATS[ending]).load(paths)
+    return reader.parquet(*paths)
 
 
 READ_FILES = TableFunction("read_files", validate, build)
