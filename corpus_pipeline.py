@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import encode_and_decode
-from tidewater.llm.common import save
+from tidewater.llm.common import fresh, save
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.mixing import mixed_documents
 from tidewater.llm.near_dedup import near_duplicates
@@ -20,7 +20,8 @@ from tidewater.llm.quality import THRESHOLD, fit_quality, score_quality
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. It learns from the rows of ``labels`` that are in docs."""
     trees = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, trees).where(F.col("_score") >= THRESHOLD).drop("_score")
+    score = fresh(docs, "_score")
+    return score_quality(docs, trees, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose identifier is in kept, null included; rows that repeat an identifier stay or go together."""
-    named = kept.distinct().withColumnRenamed("doc_id", "_kept")
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_kept"]), "left_semi")
+    named = kept.distinct().withColumnRenamed("doc_id", fresh(docs, "_kept"))
+    return docs.join(named, docs["doc_id"].eqNullSafe(named[named.columns[0]]), "left_semi")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,14 @@ def ship(spark: SparkSession) -> None:
     sc._tidewater_shipped = True
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, and a lost
     executor costs no more than the tasks it was running."""

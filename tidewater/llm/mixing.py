@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import running_total, save, word_count
+from .common import fresh, running_total, save, word_count
 
 #: Largest number of sources whose table is broadcast; a row of it takes well under 200 bytes.
 BROADCAST_SOURCES = 10_000
@@ -139,11 +139,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     The mix has one row per document, so the join is on identifier, source and size; it is salted by nothing
     because no identifier is hot.
     """
+    size, times, time = (fresh(docs, name) for name in ("_size", "_times", "_time"))
     mixed = mix_sources(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    mixed = mixed.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("m_times")).where("m_times > 0")
-    sized = docs.withColumn("_size", F.coalesce(word_count(F.col("text")), F.lit(0)))
-    on = sized["doc_id"].eqNullSafe(mixed["m_id"]) & sized["source"].eqNullSafe(mixed["m_source"]) & (sized["_size"] == mixed["m_size"])
-    return sized.join(mixed, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*[docs[c] for c in docs.columns])
+    mixed = mixed.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
+    sized = docs.withColumn(size, F.coalesce(word_count(F.col("text")), F.lit(0)))
+    on = sized["doc_id"].eqNullSafe(mixed["m_id"]) & sized["source"].eqNullSafe(mixed["m_source"]) & (sized[size] == mixed["m_size"])
+    return sized.join(mixed, on).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[sized[c] for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,11 +82,12 @@ def statistics(texts: pa.Array) -> np.ndarray:
     low, high = low[some], high[some]
     line_doc = np.searchsorted(offsets, low, "right") - 1
     n_lines = np.bincount(line_doc, minlength=n).astype(float)
+    high = high - (kinds[high - 1] == CLASSES.index("newline"))
     distinct_lines, _ = distinct_and_top(segment_hash(data, low, high), line_doc, n)
     columns = [
         np.log1p(n_words), mean, spread, distinct / words, top / words, per_doc(same, doc, n) / words, per_doc(capital, doc, n) / words, per_doc(shouted, doc, n) / words,
         per_doc(np.isin(last, symbol), doc, n) / words, per_doc(last == CLASSES.index("stop"), doc, n) / words, per_doc(lengths == 1, doc, n) / words, per_doc(lengths > 20, doc, n) / words,
-        np.log1p(n_lines), n_words / np.maximum(n_lines, 1), 1 - distinct_lines / np.maximum(n_lines, 1), distinct_pairs / np.maximum(n_words - 1, 1),
+        np.log1p(n_lines), n_words / np.maximum(n_lines, 1), (n_lines - distinct_lines) / np.maximum(n_lines, 1), distinct_pairs / np.maximum(n_words - 1, 1),
     ]
     return np.column_stack([shares, *columns])
 
@@ -180,11 +181,11 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], names=["label", "x"])
 
 
-def apply(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def apply(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
     trees = shared.value
     for batch in chunks(batches, "text"):
         score = trees.score(statistics(batch.column(batch.schema.get_field_index("text"))))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "_score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -192,7 +193,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     chosen = labels.where((fold != 0) & F.col(label).isNotNull()).select(F.col("doc_id").alias("l_id"), F.col(label).cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(most)
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", F.col("text"), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", "text", "doc_id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Trees:
@@ -205,21 +206,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -
     return fit_trees(x, found["label"].to_numpy())
 
 
-def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
-    """docs with a column ``_score``: 0 to 1, higher where label 1 is likelier. Every text is read whole; nothing is shuffled.
+def score_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
+    """docs with a column ``name``: 0 to 1, higher where label 1 is likelier. Every text is read whole; nothing is shuffled.
 
     Nulls: a null text counts as empty; an empty text has all statistics zero and its score like any other. Repeated rows
     are scored alike; an empty table gives none. All columns pass through as they are.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _score double"
-    return docs.mapInArrow(_scorer(shared), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} double"
+    return docs.mapInArrow(_scorer(shared, name), schema)
 
 
-def _scorer(shared):
+def _scorer(shared, name: str):
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return apply(batches, shared)
+        return apply(batches, shared, name)
 
     return scorer
 
@@ -229,4 +230,4 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     scored = score_quality(docs.select("doc_id", "text"), trees)
-    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -72,7 +72,7 @@ def search(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.Rec
     norms = (queries * queries).sum(1)
     for batch in batches:
         ids = batch.column(0).to_numpy()
-        x = batch.column(1).flatten().to_numpy().reshape(len(ids), -1)
+        x = batch.column(1).flatten().to_numpy().reshape(len(ids), queries.shape[1])
         own = distances(x, pivots)  # the pivot table
         square = (x * x).sum(1)
         for q in range(len(queries)):
@@ -124,8 +124,9 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
         own = queries.where(F.col("dim") == dim)
         n_blocks = -(-n // BLOCK)
         same = rows.where(F.size("vec") == dim).select("id", "vec")
-        sample = np.array([r.vec for r in same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()], float).reshape(-1, dim)
-        pivots = spread_out(sample, n_pivots) if dim else sample[:1]
+        chosen = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        sample = np.array([r.vec for r in chosen], float).reshape(len(chosen), dim)
+        pivots = spread_out(sample, n_pivots)
         for b in range(n_blocks):
             block = own.where(F.pmod(F.xxhash64("id", "vec"), F.lit(n_blocks)) == b).orderBy("id", "vec").collect()
             if not block:
