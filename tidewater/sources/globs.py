@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -58,24 +59,38 @@ def glob_regex(glob: str) -> re.Pattern[str]:
     return re.compile("".join(out) + r"\Z", re.S)
 
 
+def escaped(path: str) -> str:
+    """The path, for Spark's readers, which take it for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
-    """Full paths of the files under root whose path from there matches, in order. The driver lists one folder tree, the
-    one that all matches are in; hidden files and those of unfinished writes (names with _ or .) are left out, unless named."""
+    """Full paths of the files under root whose path from there matches, in order. A path without special characters is just
+    looked up. Otherwise Spark lists one folder tree, the one that all matches are in, in parallel where it is large; hidden
+    files and those of unfinished writes (names that begin with _ or .) are left out, as in all its scans."""
     relative = glob.lstrip("/")
     pattern = glob_regex(relative)
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not any(c in relative for c in SPECIAL + "\\"):
+        path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + relative)
+        return [files.makeQualified(path).toString()] if files.exists(path) and files.getFileStatus(path).isFile() else []
     folder = literal_folder(relative)
-    start = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + folder) if folder else base
+    start = files.makeQualified(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + folder) if folder else base)
     if not files.exists(start):
         return []
     prefix = files.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escaped(start.toString())).inputFiles()
     out = []
-    listing = files.listFiles(start, True)
-    while listing.hasNext():
-        path = listing.next().getPath()
-        own = path.toUri().getPath()[len(prefix) :]
-        if pattern.match(own) and not any(p[:1] in ("_", ".") for p in own.split("/") if p not in relative):
-            out.append(path.toString())
+    for url in listed:
+        path = unquote(url)
+        if pattern.match(urlsplit_path(path)[len(prefix) :]):
+            out.append(path)
     return sorted(out)
+
+
+def urlsplit_path(url: str) -> str:
+    """What follows the scheme and the authority, if there are any."""
+    found = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", url)
+    return url[found.end() :] if found else url

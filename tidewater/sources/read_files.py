@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from ..errors import FunctionArgumentError
 from ..functions.registry import TableFunction
 from ..plans.ir import Argument, Literal
 from .connections import DEFAULT
-from .globs import glob_regex, matching_files
+from .globs import escaped, glob_regex, matching_files
 
 #: Formats by the ending of the matched files; anything else is read as Parquet.
 FORMATS = {"csv": {"header": "true", "inferSchema": "true"}, "json": {}, "orc": {}}
@@ -48,7 +47,7 @@ def build(engine, asked: ReadFiles) -> DataFrame:
         return engine.spark.createDataFrame([], T.StructType([]))
     ending = paths[0].rpartition(".")[2].lower()
     # the paths are found already: what Spark's own globs would take for patterns is escaped
-    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    paths = [escaped(p) for p in paths]
     reader = engine.spark.read
     if ending in FORMATS and all(p.lower().endswith("." + ending) for p in paths):
         return reader.format(ending).options(**FORMATS[ending]).load(paths)
