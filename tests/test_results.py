@@ -154,3 +154,16 @@ def test_stream(spark, engine, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [12, 14, 16, 18]
     with pytest.raises(errors.UnsupportedError):
         stream(engine, "select id from read_files('in') order by id", schema)
+
+
+def test_pages_over_many_files(spark, tmp_path, monkeypatch):
+    import tidewater.operators.results as module
+
+    monkeypatch.setattr(module, "ROWS_PER_FILE", 7)
+    df = spark.range(200).repartition(3).orderBy("id")
+    write_result(df, f"file://{tmp_path}/r")
+    result = Result(spark, f"file://{tmp_path}/r", df.schema)
+    assert len(result._files()) > 28
+    for forward in (True, False):
+        pages = [ids(p) for p in result.pages(33, forward)]
+        assert [i for p in (pages if forward else reversed(pages)) for i in p] == list(range(200))

@@ -1,12 +1,14 @@
 """Durable results: Parquet files with a position in every row, read back page by page in either direction.
 
 The position is monotonically_increasing_id: the writing partition in the upper bits, the row in the lower 33. It
-grows in the order of the result, is a cursor into it, and a page is a range of it that Parquet's statistics prune.
+grows in the order of the result and is a cursor into it. Spark numbers the files by the same partition, so a page
+opens only the files it lies in, and of these only the row groups that Parquet's statistics leave.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,9 @@ ROW_BITS = 33
 LAST = 2**64 - 1
 #: Rows in a file at most, so that a page's file is small.
 ROWS_PER_FILE = 1_000_000
+#: Files that a page opens at once, at most; it starts with one.
+MOST_FILES = 64
+PART = re.compile(r"part-(\d+)-[^/]*?(?:\.c|-c)?(\d+)?\.[^/]*\Z")
 
 
 @dataclass(frozen=True, order=True)
@@ -75,12 +80,42 @@ class Result:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
+        self._listed: list[tuple[int, int, str]] | None = None
 
     def frame(self, with_position: bool = False) -> DataFrame:
-        full = T.StructType([*json_copy(self.schema).fields, T.StructField(POSITION, T.LongType())])
-        df = self.spark.read.schema(full).parquet(self.path)
+        df = self._read([self.path])
         return df if with_position else df.drop(POSITION)
 
+    def _read(self, paths: list[str]) -> DataFrame:
+        full = T.StructType([*json_copy(self.schema).fields, T.StructField(POSITION, T.LongType())])
+        return self.spark.read.schema(full).parquet(*paths)
+
+    def _files(self) -> list[tuple[int, int, str]]:
+        """(partition, number within it, path) of all files, in the order of the result; listed once."""
+        if self._listed is None:
+            found = []
+            for path in self._read([self.path]).inputFiles():
+                m = PART.search(path)
+                found.append((int(m[1]), int(m[2] or 0), path) if m else (0, 0, path))
+            self._listed = sorted(found)
+        return self._listed
+
+    def _rows(self, position: int, limit: int, forward: bool) -> list[Row]:
+        """Up to ``limit`` rows from the position on, in the direction of travel; a few files at a time."""
+        files = self._files()
+        if forward:
+            ahead = [f for p, _, f in files if p >= position >> ROW_BITS]
+            inside, order = F.col(POSITION) >= position, F.asc(POSITION)
+        else:
+            ahead = [f for p, _, f in files if p <= position >> ROW_BITS][::-1]
+            inside, order = F.col(POSITION) <= position, F.desc(POSITION)
+        rows: list[Row] = []
+        k, step = 0, 1
+        while k < len(ahead) and len(rows) < limit:
+            rows += self._read(ahead[k : k + step]).where(inside).orderBy(order).limit(limit - len(rows)).collect()
+            k, step = k + step, min(2 * step, MOST_FILES)
+        return rows
+
     def count(self) -> int:
         return self.frame().count()
 
@@ -90,16 +125,14 @@ class Result:
         the rows after the cursor. None where there are no rows."""
         if limit <= 0:
             return None
-        df = self.frame(with_position=True)
-        if forward:
-            rows = df.where(F.col(POSITION) >= cursor.position).orderBy(POSITION).limit(limit).collect()
-        else:
-            rows = df.where(F.col(POSITION) <= cursor.position).orderBy(F.desc(POSITION)).limit(limit).collect()[::-1]
+        rows = self._rows(cursor.position, limit, forward)
+        if not forward:
+            rows = rows[::-1]
         if not rows and not (allow_overflow and not forward):
             return None
         nearest = (rows[0] if forward else rows[-1])[POSITION] if rows else None
         if not forward and allow_overflow and len(rows) < limit:
-            rows += df.where(F.col(POSITION) > cursor.position).orderBy(POSITION).limit(limit - len(rows)).collect()
+            rows += self._rows(cursor.position + 1, limit - len(rows), True)
         if not rows:
             return None
         first = Cursor.of(rows[0][POSITION] if nearest is None else nearest)
