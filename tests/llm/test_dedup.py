@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.substrings import drop_repeats
@@ -123,7 +124,15 @@ def test_repeats(docs_of, rough):
     assert drop_repeats(docs_of([])).count() == 0
 
 
-def test_hot_passage(docs_of):
+@pytest.mark.parametrize("bucket", [1 << 10, 8 << 20])
+def test_hot_passage(docs_of, monkeypatch, bucket):
+    import tidewater.llm.substrings as module
+
+    monkeypatch.setattr(module, "BUCKET_BYTES", bucket)  # small buckets make the passage's minimisers hot
     rows = [(i, f"x{i} " + "very common passage of more than thirteen words that a third of all documents hold in full" + f" y{i}") for i in range(300)]
-    got = drop_repeats(docs_of(rows)).collect()
+    docs = docs_of(rows)
+    hot = module.hot_minimisers(docs.select("doc_id", F.col("doc_id").alias("id"), "text"), 300, 13, 3)
+    assert len(hot) == (0 if bucket > 1 << 20 else len(hot) or -1)
+    got = drop_repeats(docs).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 13)
     assert collections.Counter(r.n_removed for r in got) == {0: 1, 17: 299}

@@ -65,7 +65,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved._tidewater_path = path
+    return saved
+
+
+def discard(*saved: DataFrame) -> None:
+    """Deletes tables made by save that nothing reads any more."""
+    for df in saved:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tidewater_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def running_total(df: DataFrame, group: str, bucket: str, order: list[str], value: Column, name: str) -> DataFrame:

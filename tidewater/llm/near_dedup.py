@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, find_words, mix, ranges, segment_hash, text_bytes
-from .common import save, ship
+from .common import discard, save, ship
 from .substrings import LAST_ID, window_hashes
 
 #: Bands of rows: at a similarity of 0.85 all bands miss with a probability of (1 - 0.85**4)**20 < 4e-7, above it less.
@@ -157,9 +157,11 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
         after = save(nearer.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")), "near-labels")
         changed = after.where("c != old").limit(1).count()
-        labels = after.select("v", "c")
+        discard(labels)
+        labels = after
         if not changed:
-            return labels
+            discard(both)
+            return labels.select("v", "c")
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     samples that differ. In each bucket all are first held against its hub; what the sketches allow is
     confirmed on full sets. Then buckets that still hold several components compare these with each
     other, in blocks, again by sketch and then by full sets, so that no link between different texts depends on
-    the choice of the hub; inside a component nothing is compared, and each block gives a spanning set of links, not all
+    the choice of the hub; inside the hub's component nothing is compared or sent, and each block gives a spanning set of links, not all
     pairs. Hot keys: copies meet in partial aggregates; stars and blocks are split.
 
     Percentages from 80 are served by the bands' design (at 80 a pair is missed with a probability below 4e-5).
@@ -207,7 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a bucket's hub is the member that most others share bands with: in a group of near copies, the text they go back to
     weights = members.groupBy("digest").agg(F.sum("size").alias("weight"))
     hubs = members.join(weights, "digest").groupBy("band").agg(F.max(F.struct("weight", "digest")).alias("top")).select("band", F.col("top.digest").alias("hub"))
-    members = save(members.join(hubs, "band"), "near-members")
+    sized, members = members, save(members.join(hubs, "band"), "near-members")
+    discard(sized)
     about = classes.select("digest", "n", "sketch")
     first = members.where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
     sketched = first.join(about.toDF("a", "a_n", "a_s"), "a").join(about.toDF("b", "b_n", "b_s"), "b")
@@ -217,20 +220,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # what is left: pairs of different components in one bucket
     labelled = members.join(label.withColumnRenamed("v", "digest"), "digest", "left").withColumn("comp", F.coalesce("c", "digest"))
-    mixed = labelled.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed")
-    # the hub has met all the others
-    left = labelled.where("digest != hub and size > 2").join(mixed, "band", "left_semi").select("band", "size", "digest", "comp")
-    left = save(left, "near-left")
+    hub_comp = F.max(F.when(F.col("digest") == F.col("hub"), F.col("comp")))
+    mixed = labelled.groupBy("band").agg(hub_comp.alias("main"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
+    # the hub has met all the others; of the rest, those in its component need no comparison among themselves
+    left = labelled.where("digest != hub").join(mixed, "band").select("band", "digest", "comp", (F.col("comp") != F.col("main")).alias("apart"))
+    counts = left.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("apart"), 1).otherwise(0)) / BLOCK).cast("int").alias("outer"), F.ceil(F.sum(F.when(F.col("apart"), 0).otherwise(1)) / BLOCK).cast("int").alias("inner"))
+    left = save(left.join(counts, "band"), "near-left")
     texts = left.select("digest").distinct().join(classes.select("digest", "id", "tkey", "sketch"), "digest").join(rows, ["id", "tkey"]).select("digest", "sketch", "text").dropDuplicates(["digest"])
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("digest"), n_blocks).cast("int")
-    with_block = left.withColumn("blocks", n_blocks).withColumn("own", own)
-    dealt = with_block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "digest", "comp",
+    with_block = left.withColumn("own", F.pmod(F.xxhash64("digest"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    # rows apart: pairs of their blocks (others below outer), and each of their blocks with each of the component's (from outer on)
+    others = F.when(F.col("apart"), F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    place = F.when(F.col("apart"), F.col("own")).otherwise(F.col("outer") + F.col("own"))
+    dealt = with_block.withColumn("place", place).withColumn("other", F.explode(others)).select(
+        "band", F.least("place", "other").alias("low"), F.greatest("place", "other").alias("high"),
+        F.when(F.col("place") == F.col("other"), 0).when(F.col("place") < F.col("other"), 1).otherwise(2).alias("side"), "digest", "comp",
     )
     second = dealt.join(texts, "digest").groupBy("band", "low", "high").applyInArrow(_block_comparer(shingle, percent), "a binary, b binary")
     more = save(second.distinct(), "near-links")
+    discard(members, left)
     named = label.withColumnRenamed("v", "x")
     over = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
     joined = components(over)
@@ -259,3 +266,19 @@ def _block_comparer(shingle: int, percent: int):
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, percent=85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS v, doc_id AS r FROM documents UNION SELECT e.b, reached.r FROM reached JOIN both_ways e ON e.a = reached.v WHERE reached.r < e.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT v, min(r) AS c FROM reached GROUP BY v) m ON m.v = d.doc_id
+"""

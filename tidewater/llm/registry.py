@@ -6,10 +6,10 @@ from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_blocks import op6_html
 from .mixing import op3_mixing
-from .near_dedup import op9_near_dedup
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .pii import op4_pii
 from .quality import op8_quality
-from .substrings import op10_substrings
+from .substrings import OP10_SQL, op10_substrings
 from .topk import OP2_SQL, op2_topk
 from .toxicity import op5_toxicity
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_substrings": op10_substrings,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op9_near_dedup": OP9_SQL, "op10_substrings": OP10_SQL}

@@ -19,6 +19,10 @@ from .common import ship
 LAST_ID = 2**63 - 1
 #: About how many bytes of packed strings a bucket holds.
 BUCKET_BYTES = 8 << 20
+#: About how long a packed string is, and how much longer the packed strings of a text are than the text.
+STRING_BYTES, STRINGS_A_TEXT = 120, 3.4
+#: Documents that hot minimisers are looked for in, and how many of them must have one at least.
+SAMPLE, LEAST_SEEN = 4000, 8
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -40,6 +44,37 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - step : width - step + len(x) - width + 1])
 
 
+def minimisers(words: np.ndarray, first_word: np.ndarray, length: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window: its first word, its text and its minimiser."""
+    n_windows = np.maximum(np.diff(first_word) - length + 1, 0)
+    at = ranges(first_word[:-1], n_windows)
+    least = sliding_min(window_hashes(words, minimiser), length - minimiser + 1)
+    return at, np.repeat(np.arange(len(n_windows)), n_windows), least[at]
+
+
+def name_minimisers(batches: Iterator[pa.RecordBatch], length: int, minimiser: int) -> Iterator[pa.RecordBatch]:
+    """The different minimisers of each text."""
+    for batch in chunks(batches, "text"):
+        data, offsets = text_bytes(batch.column(0))
+        starts, ends, first_word = find_words(data, offsets)
+        if len(starts) >= length:
+            _, doc, chosen = minimisers(segment_hash(data, starts, ends), first_word, length, minimiser)
+            pairs = np.unique(np.column_stack([doc.astype(np.uint64), chosen]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64))], names=["name"])
+
+
+def hot_minimisers(rows: DataFrame, n_rows: int, length: int, minimiser: int) -> np.ndarray:
+    """Minimisers of so many documents that their strings would fill a good part of a bucket, by a sample of about SAMPLE documents:
+    those in a third of all, whose neighbours make each string another. The list only decides which way windows
+    travel, never whether they meet, so the result doesn't depend on it. It holds at most SAMPLE * (minimisers of a text) / LEAST_SEEN entries."""
+    some = max(1, n_rows // SAMPLE)
+    sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(some)) == 0).limit(4 * SAMPLE).select("text")
+    enough = max(LEAST_SEEN, BUCKET_BYTES // (4 * STRING_BYTES) // some)
+    names = sampled.mapInArrow(lambda it: name_minimisers(it, length, minimiser), "name long")
+    found = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("name").toArrow()
+    return np.sort(found["name"].to_numpy().view(np.uint64))
+
+
 def pack(words: np.ndarray, docs: np.ndarray, keys: np.ndarray, firsts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> bytes:
     """One bucket's share of a chunk: columns of numbers, then the packed strings."""
     parts = [docs.astype("<i8"), keys.astype("<u2"), firsts.astype("<i4"), counts.astype("<i4"), sizes.astype("<i4"), text]
@@ -56,9 +91,11 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
 
-def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Texts to super-k-mers: (bucket, blob), and spans that are settled already: (doc, key, from, to).
 
+    The windows of a hot minimiser travel one by one, each to the bucket of its own hash.
+
     Within a chunk, equal super-k-mers travel once, with the smallest identifier: for the others the answer is
     known, every window of theirs starts in that document too. So a passage in a third of all documents
     sends one string per chunk.
@@ -72,12 +109,14 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
         if not n_windows.any():
             continue
         words = segment_hash(data, starts, ends)
-        least = sliding_min(window_hashes(words, minimiser), length - minimiser + 1)
-        at = ranges(first_word[:-1], n_windows)  # the word at which each window begins
-        doc = np.repeat(np.arange(len(ids)), n_windows)
-        chosen = least[at]
+        at, doc, chosen = minimisers(words, first_word, length, minimiser)
         fresh = np.ones(len(at), bool)
         fresh[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1])
+        if len(hot):
+            single = hot[np.minimum(np.searchsorted(hot, chosen), len(hot) - 1)] == chosen
+            fresh |= single
+            fresh[1:] |= single[:-1]
+            chosen = np.where(single, window_hashes(words, length)[at], chosen)
         heads = np.flatnonzero(fresh)
         counts = np.diff(np.append(heads, len(at))) + length - 1  # words
         begin, owner, bucket = at[heads], doc[heads], (mix(chosen[heads]) % np.uint64(n_buckets)).astype(np.int64)
@@ -91,7 +130,8 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
         travels[settled] = False
         if len(settled):
             rel = begin[settled] - first_word[owner[settled]]
-            yield spans_batch(ids[owner[settled]], text_keys[owner[settled]], rel, rel + counts[settled], bucket[settled])
+            anywhere = mix(ids[owner[settled]].astype(np.uint64)) % np.uint64(n_buckets)  # these meet nobody
+            yield spans_batch(ids[owner[settled]], text_keys[owner[settled]], rel, rel + counts[settled], anywhere.astype(np.int64))
         # words with one space after each, then the strings of each bucket
         sizes = ends - starts + 1
         joined = gather(np.append(data, np.uint8(32)), starts, sizes)
@@ -181,9 +221,32 @@ def count_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         yield out.select(["doc", "key", "from", "to"])
 
 
-def drop_spans(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Columns doc_id, text, spans (a list of from, to); gives the counts and the kept words joined by a space."""
+def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's texts, each compressed: the second shuffle that carries them is a third smaller."""
+    shrink = zstandard.ZstdCompressor(level=1).compress
     for batch in chunks(batches, "text"):
+        packed = pa.array([None if t is None else shrink(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "doc", "key", "packed"])
+
+
+def unpressed(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, packed, spans) with their texts again, about ``most`` bytes at a time."""
+    grow = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        packed = batch.column(1).to_pylist()
+        sizes = np.cumsum([0] + [0 if p is None else zstandard.frame_content_size(p) for p in packed])
+        at = 0
+        while at < len(packed):
+            stop = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
+            texts = pa.array([None if p is None else grow(p) for p in packed[at:stop]], pa.binary()).cast(pa.string())
+            part = batch.slice(at, stop - at)
+            yield pa.RecordBatch.from_arrays([part.column(0), texts, part.column(2)], names=["doc_id", "text", "spans"])
+            at = stop
+
+
+def drop_spans(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+    """Columns doc_id, packed, spans (a list of from, to); gives the counts and the kept words joined by a space."""
+    for batch in unpressed(batches):
         data, offsets = text_bytes(batch.column(1))
         starts, ends, first_word = find_words(data, offsets)
         n_words = np.diff(first_word)
@@ -222,8 +285,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A window is ``length`` consecutive words of one document; each word covered by a window whose words
     also start in a document with a smaller identifier goes. Consecutive windows that share a minimiser
     (the ``minimiser`` consecutive words of least hash) travel as one packed string to the minimiser's bucket; equal
-    windows have equal minimisers and so meet there, are sorted by all their words and counted. Buckets hold about
-    8 MB of strings, by the size of the input, and are taken one at a time. Words are compared by 64-bit hashes, all of
+    windows have equal minimisers and so meet there, are sorted by all their words and counted. Windows of minimisers that a
+    sample shows to be hot are dealt by their own hashes instead. Buckets hold about 8 MB of strings, by the size of the
+    input, and are taken one at a time. Words are compared by 64-bit hashes, all of
     a window's words one by one.
 
     Nulls: a null text has no words; a null identifier comes after all others. Rows with the same identifier
@@ -232,16 +296,29 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
     rows = docs.select(ident.alias("id"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).alias("key"), F.col(text_col).alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n_buckets = max(64, min(size, 1 << 60) * 6 // BUCKET_BYTES)
-    packed = rows.mapInArrow(lambda it: cut(it, length, minimiser, n_buckets), "bucket long, blob binary, doc long, key long, `from` long, `to` long")
+    n_rows, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_buckets = max(64, int(size * STRINGS_A_TEXT) // BUCKET_BYTES)
+    hot = hot_minimisers(rows, n_rows, length, minimiser)
+    packed = rows.mapInArrow(lambda it: cut(it, length, minimiser, n_buckets, hot), "bucket long, blob binary, doc long, key long, `from` long, `to` long")
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: count_windows(it, length), "doc long, key long, `from` long, `to` long")
     per_doc = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), ident.alias("doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).alias("key"))
-    joined = whole.join(per_doc, ["doc", "key"], "left").select("doc_id", "text", "spans")
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    kind = docs.schema[id_col].dataType.simpleString()
+    whole = docs.select(F.col(id_col).alias("doc_id"), ident.alias("doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).alias("key"), F.col(text_col).alias("text"))
+    whole = whole.mapInArrow(press, f"doc_id {kind}, doc long, key long, packed binary")
+    joined = whole.join(per_doc, ["doc", "key"], "left").select("doc_id", "packed", "spans")
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(lambda it: drop_spans(it, with_text), schema)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+OP10_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS least FROM windows), range(13) AS r(k) WHERE least < doc_id),
+kept AS (SELECT x.doc_id, count(*) AS n, string_agg(x.word, ' ' ORDER BY x.p) AS t
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words) x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY x.doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
