@@ -186,3 +186,12 @@ def test_random_expressions_against_duckdb(engine, tmp_path):
 def test_pushdown_and_pruning(cost):
     plan = cost.sql("select text from read_files('cost.parquet') where cost > 20")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(cost,20)" in plan and "other" not in plan
+
+
+def test_plans_of_order_and_limit(cost):
+    plan = lambda text: cost.sql(text)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(cost" in plan("select text from read_files('cost.parquet') order by cost desc")
+    top = plan("select text from read_files('cost.parquet') order by cost desc limit 3")
+    assert "TakeOrderedAndProject" in top and "Exchange" not in top
+    scan = plan("select cost / 2 as half from read_files('cost.parquet') where text = 'world'")
+    assert "EqualTo(text,world)" in scan and "ReadSchema: struct<cost:int,text:string>" in scan and "Exchange" not in scan
