@@ -186,4 +186,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return score_toxicity(docs, chain).withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    toxic = F.col("score") >= THRESHOLD
+    return score_toxicity(docs, chain).withColumns({"held_out": held_out, "predicted": toxic.cast("int"), "toxic": toxic})
