@@ -224,8 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("band").agg(hub_comp.alias("main"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
     # the hub has met all the others; of the rest, those in its component need no comparison among themselves
     left = labelled.where("digest != hub").join(mixed, "band").select("band", "digest", "comp", (F.col("comp") != F.col("main")).alias("apart"))
-    counts = left.groupBy("band").agg(F.ceil(F.sum(F.when(F.col("apart"), 1).otherwise(0)) / BLOCK).cast("int").alias("outer"), F.ceil(F.sum(F.when(F.col("apart"), 0).otherwise(1)) / BLOCK).cast("int").alias("inner"))
-    left = save(left.join(counts, "band"), "near-left")
+    counts = left.groupBy("band").agg(F.sum(F.when(F.col("apart"), 1).otherwise(0)).alias("n_apart"), F.count(F.lit(1)).alias("n_all")).where("n_all > 1")
+    one_block = F.col("n_all") <= BLOCK  # then all of the bucket is one group
+    counts = counts.select(
+        "band", one_block.alias("whole"),
+        F.when(one_block, 1).otherwise(F.ceil(F.col("n_apart") / BLOCK)).cast("int").alias("outer"),
+        F.when(one_block, 0).otherwise(F.ceil((F.col("n_all") - F.col("n_apart")) / BLOCK)).cast("int").alias("inner"),
+    )
+    left = save(left.join(counts, "band").withColumn("apart", F.col("apart") | F.col("whole")).drop("whole"), "near-left")
     texts = left.select("digest").distinct().join(classes.select("digest", "id", "tkey", "sketch"), "digest").join(rows, ["id", "tkey"]).select("digest", "sketch", "text").dropDuplicates(["digest"])
     with_block = left.withColumn("own", F.pmod(F.xxhash64("digest"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
     # rows apart: pairs of their blocks (others below outer), and each of their blocks with each of the component's (from outer on)
