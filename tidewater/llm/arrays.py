@@ -38,8 +38,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each values[start:end]; equal contents give equal hashes wherever they stand."""
+def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each values[start:end], starts ascending; equal contents give equal hashes wherever they stand.
+    Works through about ``piece`` values at a time, since it needs several numbers for each."""
+    if len(values) <= piece:
+        return hash_piece(values, starts, ends)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + piece)))
+        low, high = starts[i], max(starts[i], ends[i:j].max())
+        out[i:j] = hash_piece(values[low:high], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def hash_piece(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(values)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
