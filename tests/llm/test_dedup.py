@@ -136,3 +136,19 @@ def test_hot_passage(docs_of, monkeypatch, bucket):
     got = drop_repeats(docs).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 13)
     assert collections.Counter(r.n_removed for r in got) == {0: 1, 17: 299}
+
+
+def test_many_texts_of_one_identifier(docs_of):
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(16)]
+    rows = [(1, " ".join(passage)), (1, "short")]
+    for i in (None, 7):
+        for k in range(3000):
+            words = [f"x{k}", *(f"z{rng.randrange(200)}" for _ in range(rng.randrange(12)))]
+            if k % 3:
+                at = rng.randrange(len(words) + 1)
+                words[at:at] = passage
+            rows.append((i, " ".join(words)))
+    rows += rows[-5:] + [(None, rows[3][1])] * 40
+    got = drop_repeats(docs_of(rows)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 13)

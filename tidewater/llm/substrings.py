@@ -77,7 +77,7 @@ def hot_minimisers(rows: DataFrame, n_rows: int, length: int, minimiser: int) ->
 
 def pack(words: np.ndarray, docs: np.ndarray, keys: np.ndarray, firsts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> bytes:
     """One bucket's share of a chunk: columns of numbers, then the packed strings."""
-    parts = [docs.astype("<i8"), keys.astype("<u2"), firsts.astype("<i4"), counts.astype("<i4"), sizes.astype("<i4"), text]
+    parts = [docs.astype("<i8"), keys.astype("<i8"), firsts.astype("<i4"), counts.astype("<i4"), sizes.astype("<i4"), text]
     return struct.pack("<i", len(docs)) + zstandard.ZstdCompressor(level=5).compress(b"".join(p.tobytes() for p in parts))
 
 
@@ -85,7 +85,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     (n,) = struct.unpack_from("<i", blob)
     raw = zstandard.ZstdDecompressor().decompress(blob[4:])
     out, at = [], 0
-    for kind in ("<i8", "<u2", "<i4", "<i4", "<i4"):
+    for kind in ("<i8", "<i8", "<i4", "<i4", "<i4"):
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
     return [*out, np.frombuffer(raw, np.uint8, offset=at)]
@@ -288,22 +288,22 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows have equal minimisers and so meet there, are sorted by all their words and counted. Windows of minimisers that a
     sample shows to be hot are dealt by their own hashes instead. Buckets hold about 8 MB of strings, by the size of the
     input, and are taken one at a time. Words are compared by 64-bit hashes, all of
-    a window's words one by one.
+    a window's words one by one; rows with the same identifier are told apart by the 64-bit hash of their texts.
 
     Nulls: a null text has no words; a null identifier comes after all others. Rows with the same identifier
     don't remove each other's words. An empty table gives no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(ident.alias("id"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).alias("key"), F.col(text_col).alias("text"))
+    rows = docs.select(ident.alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     n_rows, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_buckets = max(64, int(size * STRINGS_A_TEXT) // BUCKET_BYTES)
     hot = hot_minimisers(rows, n_rows, length, minimiser)
     packed = rows.mapInArrow(lambda it: cut(it, length, minimiser, n_buckets, hot), "bucket long, blob binary, doc long, key long, `from` long, `to` long")
     spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: count_windows(it, length), "doc long, key long, `from` long, `to` long")
-    per_doc = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    per_doc = spans.groupBy("doc", "key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = docs.select(F.col(id_col).alias("doc_id"), ident.alias("doc"), F.xxhash64(text_col).bitwiseAND(F.lit(0xFFFF)).alias("key"), F.col(text_col).alias("text"))
+    whole = docs.select(F.col(id_col).alias("doc_id"), ident.alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     whole = whole.mapInArrow(press, f"doc_id {kind}, doc long, key long, packed binary")
     joined = whole.join(per_doc, ["doc", "key"], "left").select("doc_id", "packed", "spans")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
