@@ -6,11 +6,11 @@ written as Parquet and read back as the next one's docs. All but the last return
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.bpe import encode_and_decode
-from tidewater.llm.common import fresh, save
+from tidewater.llm.common import WORD, ascii_lower, fresh, save
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.mixing import mixed_documents
 from tidewater.llm.near_dedup import near_duplicates
@@ -25,19 +25,27 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for the case of A-Z) the one with the smallest identifier."""
-    return kept_rows(docs, exact_dedup(docs).where("kept").select("doc_id"))
+    """Of documents with equal texts (but for the case of A-Z) the one with the smallest identifier, and one row of it."""
+    digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
+    return kept_rows(docs, digest, exact_dedup(docs).where("kept").select("doc_id", "text_sha256"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by a similarity of 0.8 or more of shingles of five words: the smallest identifier."""
-    return kept_rows(docs, near_duplicates(docs).where("kept").select("doc_id"))
-
-
-def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose identifier is in kept, null included; rows that repeat an identifier stay or go together."""
-    named = kept.distinct().withColumnRenamed("doc_id", fresh(docs, "_kept"))
-    return docs.join(named, docs["doc_id"].eqNullSafe(named[named.columns[0]]), "left_semi")
+    """One row of each group that is linked by a similarity of 0.8 or more of shingles of five words: one with the smallest
+    identifier. Documents without words are linked with nothing and all stay."""
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    chosen = near_duplicates(docs, with_rows=True).where("chosen and n_shingles > 0").select("doc_id", "text_key")
+    return kept_rows(docs.where(worded), F.xxhash64("text"), chosen).unionByName(docs.where(~worded))
+
+
+def kept_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """One row of docs for each (identifier, key) in kept, null identifiers included. Which of several rows that agree in both
+    is open. Rows meet in partial aggregates first, so a row that is often repeated is not a hot key; the identifier and the key
+    are one struct, in which nulls are equal, so that the join needs no further shuffle of docs."""
+    row = fresh(docs, "_row")
+    single = docs.withColumn(row, F.struct(F.col("doc_id").alias("id"), key.alias("key"))).dropDuplicates([row])
+    named = kept.distinct().select(F.struct(*(F.col(c).alias(n) for c, n in zip(kept.columns, ("id", "key"), strict=True))).alias(row))
+    return single.join(named, row, "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,49 @@ def test_stages(spark, tmp_path):
         docs, before = out, after
 
 
+def test_dedup_decides_by_row(spark, docs_of):
+    """Repeated rows, null identifiers, and one identifier over different texts, in both dedup stages."""
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(0, 60, 10)]
+    other = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcdefgh"]
+    lone = [" ".join([*other[0].split()[:k], f"n{k}"]) for k in (28, 29)]  # near copies of other[0]
+    rows = [(1, near[0]), (None, near[0].upper()), (None, near[1]), (2, near[2]), (2, near[2]), (2, near[3])]
+    rows += [(None, t) for t in (*other[:3], *other[:3], other[0].upper(), *lone)] + [(5, other[3])] * 4 + [(5, other[4]), (6, other[3])]
+    rows += [(7, other[5]), (7, lone[0]), (8, None), (8, ""), (None, None), (None, " "), (None, other[6]), (9, other[6])]
+    docs = docs_of(rows)
+    norm = lambda t: (t or "").translate(ASCII)
+    least = {}
+    for i, t in rows:
+        least[norm(t)] = min(least.get(norm(t), (True, 0)), (i is None, i or 0))
+    wanted = sorted(((None if none else i, t) for t, (none, i) in least.items()), key=str)
+    exact = corpus_pipeline.distinct_documents(spark, docs, DATA)
+    assert exact.columns == docs.columns
+    assert sorted(((r.doc_id, norm(r.text)) for r in exact.collect()), key=str) == wanted
+
+    for before in (rows, [(r.doc_id, r.text) for r in exact.collect()]):
+        after = corpus_pipeline.without_near_copies(spark, docs_of(before), DATA)
+        assert after.columns == docs.columns
+        after = [(r.doc_id, r.text) for r in after.collect()]
+        assert not collections.Counter(after) - collections.Counter(before)
+        # one row of each component, with the component's smallest identifier; wordless rows all stay
+        groups = components_of(before)
+        assert len(after) == len(groups)
+        for g in groups:
+            found = [i for i, t in after if (i, t) in g]
+            least = min((i is None, i or 0) for i, _ in g)
+            assert {(i is None, i or 0) for i in found} == {least}
+            assert len(found) == 1 or not (g[0][1] or "").strip()
+
+
+def components_of(rows):
+    """Rows by component, wordless rows alone."""
+    named = brute_components([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)
+    groups = {}
+    for k, _, c in named:
+        groups.setdefault(c, []).append(rows[k])
+    return list(groups.values())
+
+
 def test_run(spark):
     df = corpus_pipeline.run(spark, DATA)
     assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and df.count() > 0

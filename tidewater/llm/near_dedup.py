@@ -176,8 +176,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
     return dealt.mapInArrow(lambda it: verify_stars(it, shingle, percent), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, with_rows: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept`` and, where asked for, ``text_key, chosen``.
 
     Documents are linked where the intersection of their sets of word shingles (A-Z lower-cased) is at least ``percent`` of the
     union; a component's identifier is the smallest one in it, and that document is kept.
@@ -193,6 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Percentages from 80 are served by the bands' design (at 80 a pair is missed with a probability below 4e-5).
     Nulls: a null or wordless text has an empty set and is linked with nothing; a null identifier counts as the largest.
     Fewer words than a shingle form one shingle. Rows with the same identifier and different texts are linked only by similarity.
+    ``kept`` goes by the identifier: all of a component's rows that share its smallest one have it. ``chosen`` goes by the row:
+    it names one ``text_key`` (the text's 64-bit hash) of those, so that only equal texts under one identifier are chosen together.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -250,17 +252,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = label.unionByName(over.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(label, "v", "left_anti").withColumn("c", F.col("v")))
     label = label.join(joined.toDF("c", "cc"), "c", "left").select(F.col("v").alias("digest"), F.coalesce("cc", "c").alias("comp"))
 
-    # the smallest identifier of each component
-    owned = classes.join(label, "digest", "left").select("digest", "id", F.coalesce("comp", "digest").alias("comp"))
-    least = owned.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = owned.join(least, "comp").select("digest", "component_id")
-    rest = table.select("id", "n", "digest").where("n > 0").join(named, "digest").select("id", "n", "component_id")
-    out = rest.union(table.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    # the smallest identifier of each component, and the smallest text key under it
+    owned = classes.join(label, "digest", "left").select("digest", "id", "tkey", F.coalesce("comp", "digest").alias("comp"))
+    least = owned.groupBy("comp").agg(F.min(F.struct("id", "tkey")).alias("rep"))
+    named = owned.join(least, "comp").select("digest", F.col("rep.id").alias("component_id"), F.col("rep.tkey").alias("component_key"))
+    rest = table.select("id", "tkey", "n", "digest").where("n > 0").join(named, "digest").select("id", "tkey", "n", "component_id", "component_key")
+    out = rest.union(table.where("n = 0").select("id", "tkey", "n", F.col("id").alias("component_id"), F.col("tkey").alias("component_key")))
 
     def restored(c: str) -> Column:
         return F.when(F.col(c) != LAST_ID, F.col(c)).cast(kind)
 
-    return out.select(restored("id").alias("doc_id"), F.col("n").alias("n_shingles"), restored("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    kept = F.col("id") == F.col("component_id")
+    columns = [restored("id").alias("doc_id"), F.col("n").alias("n_shingles"), restored("component_id").alias("component_id"), kept.alias("kept")]
+    if with_rows:
+        columns += [F.col("tkey").alias("text_key"), (kept & (F.col("tkey") == F.col("component_key"))).alias("chosen")]
+    return out.select(*columns)
 
 
 def _block_comparer(shingle: int, percent: int):
