@@ -128,6 +128,23 @@ def test_blocks():
     assert html_blocks.blocks_of("<script>never closed") == []
 
 
+def test_blocks_of_an_open_head():
+    inside = '<meta charset=utf-8><title>no</title><link rel=x><style>p{}</style><script>no()</script><template><div>no</div><p>no</p></template>'
+    rest = "<article><h1>Title</h1><p>One <b>two</b></article>"
+    with_end = html_blocks.blocks_of(f"<html><head>{inside}</head><body>{rest}</body></html>")
+    assert [b.text for b in with_end] == ["Title", "One two"]
+    assert html_blocks.blocks_of(f"<html><head>{inside}\n<body>{rest}") == with_end
+    for page in (f"<html><head>{inside}{rest}", f"<head>{inside}<head>{rest}", f"<head>{inside}<img src=x>{rest}"):
+        assert [b.text for b in html_blocks.blocks_of(page)] == ["Title", "One two"]
+    assert [b.text for b in html_blocks.blocks_of(f"<head>{inside} bare text<p>more")] == ["bare text", "more"]
+    assert html_blocks.blocks_of(f"<html><head>{inside}") == []
+
+
+def test_blocks_of_math_object_button():
+    page = "<p>So <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds</p><object data=x><p>instead</p></object><button>Press</button><p>end"
+    assert [b.text for b in html_blocks.blocks_of(page)] == ["So a=2 holds", "instead", "Press", "end"]
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(2)
     model = html_blocks.Labeller.fresh(3)

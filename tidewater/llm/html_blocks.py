@@ -19,9 +19,12 @@ from .common import ship
 
 # Elements without an end, elements whose text is not shown, elements that don't end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title noscript template textarea iframe svg math object select head button".split())
+HIDDEN = frozenset("script style title noscript template textarea iframe svg select head annotation annotation-xml".split())
+#: Elements that may stand in a head; any other start tag ends it, and so does text.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 RAW = frozenset("script style title noscript textarea iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math annotation annotation-xml maction menclose merror mfenced mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 #: A start tag of the key ends an open element of these names.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements beyond which an implied end doesn't look.
@@ -59,6 +62,8 @@ def blocks_of(page: str) -> list[Block]:
         pieces, linked = [], []
 
     def say(text: str) -> None:
+        if text.strip():
+            end_head()
         if not hidden:
             pieces.append(text)
             if links:
@@ -71,6 +76,10 @@ def blocks_of(page: str) -> list[Block]:
             links -= tag == "a"
         del stack[k:]
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     at = 0
     while found := TAG.search(page, at):
         if found.start() > at:
@@ -79,6 +88,8 @@ def blocks_of(page: str) -> list[Block]:
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        if not found[1] and tag not in IN_HEAD:
+            end_head()
         if tag not in INLINE:
             flush()
         elif tag == "br":
