@@ -141,6 +141,12 @@ def test_ranges(spark):
     assert len(sample_boundaries(spark.range(1000), ["id"], 4)) == 3
 
 
+@pytest.mark.parametrize("rate", [0.1, 1e-12])
+def test_sampled_boundaries_of_a_sorted_table(spark, rate):
+    bounds = sample_boundaries(spark.range(0, 40_000, 1, 8), ["id"], 4, rate=rate, most=1000)
+    assert [round(b[0] / 10_000) for b in bounds] == [1, 2, 3]
+
+
 def test_render():
     assert shown("x" * 80) == ["x" * 48, "x" * 27 + "..."] and shown(None) == ["null"]
     assert table(["a"], [[1], ["b" * 50]]).count("\n") == 6

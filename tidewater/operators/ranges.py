@@ -71,6 +71,12 @@ def range_column(columns: Sequence[str], bounds: Sequence[Key], descending: Sequ
 
 
 def sample_boundaries(df: DataFrame, columns: Sequence[str], n: int, rate: float = 0.1, most: int = 100_000, seed: int = 1, descending: Sequence[bool] | None = None) -> list[Key]:
-    """Boundaries from a sample of bounded size."""
-    rows = df.select(*columns).sample(rate, seed).limit(most).collect() or df.select(*columns).limit(most).collect()
-    return boundaries([tuple(r) for r in rows], n, descending)
+    """Boundaries from a sample of at most ``most`` rows of the whole table; it costs a count of the rows."""
+    keys = df.select(*columns)
+    enough = 1.1 * most / max(1, keys.count())
+
+    def some(rate: float) -> list:
+        # what is more than most goes by lot, not by its place in the table
+        return keys.sample(min(1.0, rate, enough), seed).orderBy(F.rand(seed + 1)).limit(most).collect()
+
+    return boundaries([tuple(r) for r in some(rate) or some(1.0)], n, descending)
