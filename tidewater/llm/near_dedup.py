@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, chunks, find_words, mix, ranges, segment_hash, text_bytes
-from .common import discard, save, ship
-from .substrings import LAST_ID, window_hashes
+from .common import discard, hot_keys, identifier, save, ship, spread_join
+from .substrings import window_hashes
 
 #: Bands of rows: at a similarity of 0.85 all bands miss with a probability of (1 - 0.85**4)**20 < 4e-7, above it less.
 BANDS, ROWS = 20, 4
@@ -19,8 +19,8 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch, and how many may differ: samples that differ toggle two bits each at most, and two sets
 #: of similarity 0.85 differ in more than 33 of 80 samples with a probability below 1e-7.
 SKETCH_BITS, MOST_BITS = 512, 66
-#: Members of a star that one group verifies, and members of a bucket that one block compares.
-STAR, BLOCK = 512, 512
+#: Members of a star that one group verifies; members of a bucket, and shingles in them, that one block compares.
+STAR, BLOCK, BLOCK_SHINGLES = 512, 512, 1 << 20
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,33 +147,38 @@ def compare_blocks(batches: Iterator[pa.RecordBatch], shingle: int, percent: int
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, c): for every vertex of the edges (a, b) the smallest vertex it reaches. Each round takes the least label
-    of all neighbours, then the label of that label; labels are written to the shared folder after each."""
+    """(v, c), saved: for every vertex of the edges (a, b) the smallest vertex it reaches. Each round takes the least label
+    of all neighbours, then the label of that label; labels are written to the shared folder after each. A vertex with many
+    neighbours and a label with many bearers are dealt to several tasks."""
     both = save(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "near-edges")
+    hubs = hot_keys(both, "u")
     labels = save(both.groupBy("v").agg(F.min("u").alias("c")).select("v", F.least("v", "c").alias("c")), "near-labels")
     while True:
-        heard = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("h"))
-        nearer = labels.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "h").alias("c"))
-        up = labels.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        after = save(nearer.join(up, "c").select("v", "old", F.least("c", "cc").alias("c")), "near-labels")
-        changed = after.where("c != old").limit(1).count()
-        discard(labels)
+        heard = spread_join(both, labels.select(F.col("v").alias("u"), "c"), "u", hubs).groupBy("v").agg(F.min("c").alias("h"))
+        nearer = save(labels.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "h").alias("c")), "near-labels")
+        up = nearer.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        after = save(spread_join(nearer, up, "c", hot_keys(nearer, "c")).select("v", "old", F.least("c", "cc").alias("c")), "near-labels", changed=F.count_if(F.col("c") != F.col("old")))
+        changed = after._tidewater_counts["changed"]
+        discard(labels, nearer)
         labels = after
         if not changed:
             discard(both)
-            return labels.select("v", "c")
+            return labels
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A pair is a ray of the star around a; large stars are
+    """The pairs (a, b), saved, whose full sets are similar enough. A pair is a ray of the star around a; large stars are
     salted, and each text travels once per star."""
     per_hub = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("parts"))
-    rays = save(pairs.join(per_hub, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), F.lit(True).alias("leaf"), F.col("b").alias("digest")), "near-rays")
+    sized = spread_join(pairs, per_hub, "a", hot_keys(pairs, "a"))
+    rays = save(sized.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt"), F.lit(True).alias("leaf"), F.col("b").alias("digest")), "near-rays")
     centers = rays.select("hub", "salt", F.lit(False).alias("leaf"), F.col("hub").alias("digest")).distinct()
     wanted = rays.union(centers).join(classes.select("digest", "id", "tkey"), "digest")
     texts = wanted.join(docs, ["id", "tkey"]).select("hub", "salt", "leaf", "digest", "text").dropDuplicates(["hub", "salt", "leaf", "digest"])
     dealt = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leaf")
-    return dealt.mapInArrow(lambda it: verify_stars(it, shingle, percent), "a binary, b binary")
+    links = save(dealt.mapInArrow(lambda it: verify_stars(it, shingle, percent), "a binary, b binary"), "near-links")
+    discard(rays)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, with_rows: bool = False) -> DataFrame:
@@ -186,56 +191,68 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     four give buckets and all together an odd sketch: a bitmap of parities whose differing bits count the
     samples that differ. In each bucket all are first held against its hub; what the sketches allow is
     confirmed on full sets. Then buckets that still hold several components compare these with each
-    other, in blocks, again by sketch and then by full sets, so that no link between different texts depends on
+    other, in blocks bounded by members and by shingles, again by sketch and then by full sets, so that no link between different texts depends on
     the choice of the hub; inside the hub's component nothing is compared or sent, and each block gives a spanning set of links, not all
-    pairs. Hot keys: copies meet in partial aggregates; stars and blocks are split.
+    pairs. Hot keys (a band, a hub, a component or a set that a good part of all rows shares) meet in partial aggregates; joins on
+    them deal their rows to several tasks.
 
-    Percentages from 80 are served by the bands' design (at 80 a pair is missed with a probability below 4e-5).
-    Nulls: a null or wordless text has an empty set and is linked with nothing; a null identifier counts as the largest.
+    Percentages below 80 are refused: bands and sketches are made for 80 and more (at 80 a pair is missed with a probability below 4e-5).
+    Nulls: a null or wordless text has an empty set and is linked with nothing; a null identifier comes after all others.
     Fewer words than a shingle form one shingle. Rows with the same identifier and different texts are linked only by similarity.
+    An empty table gives no rows. Other columns are ignored.
     ``kept`` goes by the identifier: all of a component's rows that share its smallest one have it. ``chosen`` goes by the row:
     it names one ``text_key`` (the text's 64-bit hash) of those, so that only equal texts under one identifier are chosen together.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("percent is from 80 to 100")
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
-    described = rows.mapInArrow(lambda it: describe(it, shingle), "id long, tkey long, n long, digest binary, bands array<long>, sketch array<long>")
+    rows = docs.select(identifier(F.col(id_col)).alias("id"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
+    described = rows.mapInArrow(lambda it: describe(it, shingle), "id struct<none:boolean,value:bigint>, tkey long, n long, digest binary, bands array<long>, sketch array<long>")
     table = save(described, "near-sets")
     classes = save(
         table.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "tkey")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("digest", "rep.id", "rep.tkey", "n", "bands", "sketch"),
         "near-classes",
     )
-    banded = classes.select("digest", F.explode("bands").alias("band"))
+    banded = classes.select("digest", "n", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = save(banded.join(buckets, "band"), "near-members")
+    hot_bands = hot_keys(banded, "band", BANDS * classes._tidewater_counts["rows"])
+    sized = save(spread_join(banded, buckets, "band", hot_bands), "near-members")
     # a bucket's hub is the member that most others share bands with: in a group of near copies, the text they go back to
-    weights = members.groupBy("digest").agg(F.sum("size").alias("weight"))
-    hubs = members.join(weights, "digest").groupBy("band").agg(F.max(F.struct("weight", "digest")).alias("top")).select("band", F.col("top.digest").alias("hub"))
-    sized, members = members, save(members.join(hubs, "band"), "near-members")
+    weights = sized.groupBy("digest").agg(F.sum("size").alias("weight"))
+    hubs = sized.join(weights, "digest").groupBy("band").agg(F.max(F.struct("weight", "digest")).alias("top")).select("band", F.col("top.digest").alias("hub"))
+    members = save(spread_join(sized, hubs, "band", hot_bands).select("band", "digest", "n", "hub"), "near-members")
     discard(sized)
     about = classes.select("digest", "n", "sketch")
-    first = members.where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
-    sketched = first.join(about.toDF("a", "a_n", "a_s"), "a").join(about.toDF("b", "b_n", "b_s"), "b")
-    first = sketched.where(may_be_similar(F.col("a_n"), F.col("b_n"), F.col("a_s"), F.col("b_s"), percent)).select("a", "b")
-    links = save(confirm(first, classes, rows, shingle, percent), "near-links")
+    met = save(members.where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct(), "near-pairs")
+    sketched = spread_join(met, about.toDF("a", "a_n", "a_s"), "a", hot_keys(met, "a")).join(about.toDF("b", "b_n", "b_s"), "b")
+    first = save(sketched.where(may_be_similar(F.col("a_n"), F.col("b_n"), F.col("a_s"), F.col("b_s"), percent)).select("a", "b"), "near-pairs")
+    links = confirm(first, classes, rows, shingle, percent)
     label = components(links)
+    discard(met, first, links)
 
     # what is left: pairs of different components in one bucket
-    labelled = members.join(label.withColumnRenamed("v", "digest"), "digest", "left").withColumn("comp", F.coalesce("c", "digest"))
+    labelled = save(members.join(label.select(F.col("v").alias("digest"), "c"), "digest", "left").select("band", "digest", "n", "hub", F.coalesce("c", "digest").alias("comp")), "near-members")
+    discard(members)
     hub_comp = F.max(F.when(F.col("digest") == F.col("hub"), F.col("comp")))
     mixed = labelled.groupBy("band").agg(hub_comp.alias("main"), (F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").drop("mixed")
     # the hub has met all the others; of the rest, those in its component need no comparison among themselves
-    left = labelled.where("digest != hub").join(mixed, "band").select("band", "digest", "comp", (F.col("comp") != F.col("main")).alias("apart"))
-    counts = left.groupBy("band").agg(F.sum(F.when(F.col("apart"), 1).otherwise(0)).alias("n_apart"), F.count(F.lit(1)).alias("n_all")).where("n_all > 1")
-    one_block = F.col("n_all") <= BLOCK  # then all of the bucket is one group
+    left = spread_join(labelled.where("digest != hub"), mixed, "band", hot_bands).select("band", "digest", "n", "comp", (F.col("comp") != F.col("main")).alias("apart"))
+    left = save(left, "near-left")
+    apart = F.col("apart").cast("long")
+    counts = left.groupBy("band").agg(
+        (F.sum(apart) / BLOCK).alias("rows_apart"), (F.sum(apart * F.col("n")) / BLOCK_SHINGLES).alias("n_apart"),
+        (F.sum(1 - apart) / BLOCK).alias("rows_main"), (F.sum((1 - apart) * F.col("n")) / BLOCK_SHINGLES).alias("n_main"), F.count(F.lit(1)).alias("n_all"),
+    ).where("n_all > 1 and rows_apart > 0")
+    whole = (F.col("rows_apart") + F.col("rows_main") <= 1) & (F.col("n_apart") + F.col("n_main") <= 1)  # then all of the bucket is one group
     counts = counts.select(
-        "band", one_block.alias("whole"),
-        F.when(one_block, 1).otherwise(F.ceil(F.col("n_apart") / BLOCK)).cast("int").alias("outer"),
-        F.when(one_block, 0).otherwise(F.ceil((F.col("n_all") - F.col("n_apart")) / BLOCK)).cast("int").alias("inner"),
+        "band", whole.alias("whole"),
+        F.when(whole, 1).otherwise(F.ceil(F.greatest("rows_apart", "n_apart"))).cast("int").alias("outer"),
+        F.when(whole, 0).otherwise(F.ceil(F.greatest("rows_main", "n_main"))).cast("int").alias("inner"),
     )
-    left = save(left.join(counts, "band").withColumn("apart", F.col("apart") | F.col("whole")).drop("whole"), "near-left")
-    texts = left.select("digest").distinct().join(classes.select("digest", "id", "tkey", "sketch"), "digest").join(rows, ["id", "tkey"]).select("digest", "sketch", "text").dropDuplicates(["digest"])
-    with_block = left.withColumn("own", F.pmod(F.xxhash64("digest"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    counted = save(spread_join(left, counts, "band", hot_bands).withColumn("apart", F.col("apart") | F.col("whole")).drop("whole"), "near-left")
+    texts = counted.select("digest").distinct().join(classes.select("digest", "id", "tkey", "sketch"), "digest").join(rows, ["id", "tkey"]).select("digest", "sketch", "text").dropDuplicates(["digest"])
+    with_block = counted.withColumn("own", F.pmod(F.xxhash64("digest"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
     # rows apart: pairs of their blocks (others below outer), and each of their blocks with each of the component's (from outer on)
     others = F.when(F.col("apart"), F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
     place = F.when(F.col("apart"), F.col("own")).otherwise(F.col("outer") + F.col("own"))
@@ -245,28 +262,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     second = dealt.join(texts, "digest").groupBy("band", "low", "high").applyInArrow(_block_comparer(shingle, percent), "a binary, b binary")
     more = save(second.distinct(), "near-links")
-    discard(members, left)
-    named = label.withColumnRenamed("v", "x")
-    over = more.join(named.toDF("a", "ca"), "a", "left").join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b")
+    discard(labelled, left, counted)
+    named = label.select("v", "c")
+    ends = spread_join(more, named.toDF("a", "ca"), "a", hot_keys(more, "a"), "left")
+    over = save(ends.join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b"), "near-links")
     joined = components(over)
-    label = label.unionByName(over.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(label, "v", "left_anti").withColumn("c", F.col("v")))
-    label = label.join(joined.toDF("c", "cc"), "c", "left").select(F.col("v").alias("digest"), F.coalesce("cc", "c").alias("comp"))
+    alone = over.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(named, "v", "left_anti").withColumn("c", F.col("v"))
+    all_labels = save(named.unionByName(alone), "near-labels")
+    final = spread_join(all_labels, joined.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", hot_keys(all_labels, "c"), "left").select(F.col("v").alias("digest"), F.coalesce("cc", "c").alias("comp"))
 
     # the smallest identifier of each component, and the smallest text key under it
-    owned = classes.join(label, "digest", "left").select("digest", "id", "tkey", F.coalesce("comp", "digest").alias("comp"))
+    owned = save(classes.join(final, "digest", "left").select("digest", "id", "tkey", F.coalesce("comp", "digest").alias("comp")), "near-owned")
     least = owned.groupBy("comp").agg(F.min(F.struct("id", "tkey")).alias("rep"))
-    named = owned.join(least, "comp").select("digest", F.col("rep.id").alias("component_id"), F.col("rep.tkey").alias("component_key"))
-    rest = table.select("id", "tkey", "n", "digest").where("n > 0").join(named, "digest").select("id", "tkey", "n", "component_id", "component_key")
+    representative = spread_join(owned, least, "comp", hot_keys(owned, "comp")).select("digest", F.col("rep.id").alias("component_id"), F.col("rep.tkey").alias("component_key"))
+    worded = table.select("id", "tkey", "n", "digest").where("n > 0")
+    rest = spread_join(worded, representative, "digest", hot_keys(worded, "digest", table._tidewater_counts["rows"])).select("id", "tkey", "n", "component_id", "component_key")
     out = rest.union(table.where("n = 0").select("id", "tkey", "n", F.col("id").alias("component_id"), F.col("tkey").alias("component_key")))
 
     def restored(c: str) -> Column:
-        return F.when(F.col(c) != LAST_ID, F.col(c)).cast(kind)
+        return F.when(~F.col(c)["none"], F.col(c)["value"]).cast(kind)
 
     kept = F.col("id") == F.col("component_id")
     columns = [restored("id").alias("doc_id"), F.col("n").alias("n_shingles"), restored("component_id").alias("component_id"), kept.alias("kept")]
     if with_rows:
         columns += [F.col("tkey").alias("text_key"), (kept & (F.col("tkey") == F.col("component_key"))).alias("chosen")]
-    return out.select(*columns)
+    result = save(out.select(*columns), "near-result")
+    discard(table, classes, label, more, over, joined, all_labels, owned)
+    return result
 
 
 def _block_comparer(shingle: int, percent: int):
