@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import FACTOR, INVERSE, chunks, find_words, gather, mix, powers, ranges, segment_hash, text_bytes
-from .common import ship
+from .common import identifier, ship
 
-#: Stands for a null identifier: after all others.
-LAST_ID = 2**63 - 1
 #: About how many bytes of packed strings a bucket holds.
 BUCKET_BYTES = 8 << 20
 #: About how long a packed string is, and how much longer the packed strings of a text are than the text.
 STRING_BYTES, STRINGS_A_TEXT = 120, 3.4
-#: Documents that hot minimisers are looked for in, and how many of them must have one at least.
+#: Documents that hot minimisers are looked for in, about, and how many of them must have one at least.
 SAMPLE, LEAST_SEEN = 4000, 8
+#: Buckets that one task takes, one after the other, and about how many bytes of texts a task of the last join takes.
+BUCKETS_A_TASK, JOIN_BYTES = 4, 64 << 20
 
 
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -63,21 +63,26 @@ def name_minimisers(batches: Iterator[pa.RecordBatch], length: int, minimiser: i
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].copy().view(np.int64))], names=["name"])
 
 
-def hot_minimisers(rows: DataFrame, n_rows: int, length: int, minimiser: int) -> np.ndarray:
-    """Minimisers of so many documents that their strings would fill a good part of a bucket, by a sample of about SAMPLE documents:
+def hot_minimisers(texts: DataFrame, n_rows: int, length: int, minimiser: int) -> np.ndarray:
+    """Minimisers of so many documents that their strings would fill a good part of a bucket, by a sample of about SAMPLE documents, read where they are:
     those in a third of all, whose neighbours make each string another. The list only decides which way windows
     travel, never whether they meet, so the result doesn't depend on it. It holds at most SAMPLE * (minimisers of a text) / LEAST_SEEN entries."""
     some = max(1, n_rows // SAMPLE)
-    sampled = rows.where(F.pmod(F.xxhash64("id"), F.lit(some)) == 0).limit(4 * SAMPLE).select("text")
+    sampled = texts.sample(1 / some, seed=11) if some > 1 else texts
     enough = max(LEAST_SEEN, BUCKET_BYTES // (4 * STRING_BYTES) // some)
     names = sampled.mapInArrow(lambda it: name_minimisers(it, length, minimiser), "name long")
     found = names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("name").toArrow()
     return np.sort(found["name"].to_numpy().view(np.uint64))
 
 
-def pack(words: np.ndarray, docs: np.ndarray, keys: np.ndarray, firsts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> bytes:
+def above(none: np.ndarray, docs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the identifier at a is larger than that at b; a null one is larger than all others."""
+    return (none[a] > none[b]) | ((none[a] == none[b]) & (docs[a] > docs[b]))
+
+
+def pack(none: np.ndarray, docs: np.ndarray, keys: np.ndarray, firsts: np.ndarray, counts: np.ndarray, sizes: np.ndarray, text: np.ndarray) -> bytes:
     """One bucket's share of a chunk: columns of numbers, then the packed strings."""
-    parts = [docs.astype("<i8"), keys.astype("<i8"), firsts.astype("<i4"), counts.astype("<i4"), sizes.astype("<i4"), text]
+    parts = [none.astype("<i1"), docs.astype("<i8"), keys.astype("<i8"), firsts.astype("<i4"), counts.astype("<i4"), sizes.astype("<i4"), text]
     return struct.pack("<i", len(docs)) + zstandard.ZstdCompressor(level=5).compress(b"".join(p.tobytes() for p in parts))
 
 
@@ -85,14 +90,14 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     (n,) = struct.unpack_from("<i", blob)
     raw = zstandard.ZstdDecompressor().decompress(blob[4:])
     out, at = [], 0
-    for kind in ("<i8", "<i8", "<i4", "<i4", "<i4"):
+    for kind in ("<i1", "<i8", "<i8", "<i4", "<i4", "<i4"):
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
     return [*out, np.frombuffer(raw, np.uint8, offset=at)]
 
 
 def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Texts to super-k-mers: (bucket, blob), and spans that are settled already: (doc, key, from, to).
+    """Texts to super-k-mers: (bucket, blob), and spans that are settled already: (none, doc, key, from, to).
 
     The windows of a hot minimiser travel one by one, each to the bucket of its own hash.
 
@@ -102,7 +107,8 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
     """
     for batch in chunks(batches, "text"):
         data, offsets = text_bytes(batch.column(2))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        none = batch.column(0).field("none").to_numpy(zero_copy_only=False).astype(np.int8)
+        ids = batch.column(0).field("value").to_numpy(zero_copy_only=False)
         text_keys = batch.column(1).to_numpy(zero_copy_only=False)
         starts, ends, first_word = find_words(data, offsets)
         n_windows = np.maximum(np.diff(first_word) - length + 1, 0)
@@ -121,17 +127,17 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
         counts = np.diff(np.append(heads, len(at))) + length - 1  # words
         begin, owner, bucket = at[heads], doc[heads], (mix(chosen[heads]) % np.uint64(n_buckets)).astype(np.int64)
         whole = segment_hash(words, begin, begin + counts)
-        order = np.lexsort((ids[owner], whole))
+        order = np.lexsort((ids[owner], none[owner], whole))
         same = np.zeros(len(order), bool)
         same[1:] = (whole[order][1:] == whole[order][:-1]) & (counts[order][1:] == counts[order][:-1])
         leader = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        settled = order[ids[owner[order]] > ids[owner[leader]]]
+        settled = order[above(none, ids, owner[order], owner[leader])]
         travels = np.ones(len(order), bool)
         travels[settled] = False
         if len(settled):
             rel = begin[settled] - first_word[owner[settled]]
             anywhere = mix(ids[owner[settled]].astype(np.uint64)) % np.uint64(n_buckets)  # these meet nobody
-            yield spans_batch(ids[owner[settled]], text_keys[owner[settled]], rel, rel + counts[settled], anywhere.astype(np.int64))
+            yield spans_batch(none[owner[settled]], ids[owner[settled]], text_keys[owner[settled]], rel, rel + counts[settled], anywhere.astype(np.int64))
         # words with one space after each, then the strings of each bucket
         sizes = ends - starts + 1
         joined = gather(np.append(data, np.uint8(32)), starts, sizes)
@@ -146,25 +152,26 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
         blobs, buckets = [], []
         for a, b in zip(edges, np.append(edges[1:], len(going)), strict=True):
             g = going[a:b]
-            blobs.append(pack(words, ids[owner[g]], text_keys[owner[g]], begin[g] - first_word[owner[g]], counts[g], long[a:b], gather(joined, low[a:b], long[a:b])))
+            blobs.append(pack(none[owner[g]], ids[owner[g]], text_keys[owner[g]], begin[g] - first_word[owner[g]], counts[g], long[a:b], gather(joined, low[a:b], long[a:b])))
             buckets.append(int(bucket[g[0]]))
         n = len(blobs)
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary()), none, none, none, none], names=NAMES)
+        blank = pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.bool_()), blank, blank, blank, blank], names=NAMES)
 
 
-NAMES = ["bucket", "blob", "doc", "key", "from", "to"]
+SPAN = ["none", "doc", "key", "from", "to"]
+NAMES = ["bucket", "blob", *SPAN]
 
 
-def spans_batch(doc: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+def spans_batch(none: np.ndarray, doc: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.nulls(n, pa.binary()), *[pa.array(x.astype(np.int64)) for x in (doc, key, low, high)]], names=NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.nulls(n, pa.binary()), pa.array(none.astype(bool)), *[pa.array(x.astype(np.int64)) for x in (doc, key, low, high)]], names=NAMES)
 
 
 def count_bucket(blobs: list[bytes], length: int) -> pa.RecordBatch | None:
     """Sorts the windows of one bucket; gives the spans of those that a smaller identifier has too."""
     parts = [unpack(b) for b in blobs]
-    docs, keys, firsts, counts, sizes, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    none, docs, keys, firsts, counts, sizes, text = (np.concatenate(x) for x in zip(*parts, strict=True))
     stops = np.cumsum(sizes)
     starts, ends, first_word = find_words(text, np.concatenate(([0], stops)))
     words = segment_hash(text, starts, ends)
@@ -181,15 +188,15 @@ def count_bucket(blobs: list[bytes], length: int) -> pa.RecordBatch | None:
     if not len(shared):
         return None
     # the order by content: hash, then all words, then identifier
-    columns = [docs[owner[shared]], *[words[at[shared] + k] for k in range(length)], hashes[shared]]
+    columns = [docs[owner[shared]], none[owner[shared]], *[words[at[shared] + k] for k in range(length)], hashes[shared]]
     by = np.lexsort(columns)
     shared = shared[by]
     differs = np.zeros(len(shared), bool)
     differs[0] = True
-    for c in columns[1:]:
+    for c in columns[2:]:
         differs[1:] |= c[by][1:] != c[by][:-1]
-    smallest = docs[owner[shared]][np.maximum.accumulate(np.where(differs, np.arange(len(shared)), 0))]
-    hit = np.sort(shared[docs[owner[shared]] > smallest])
+    smallest = owner[shared][np.maximum.accumulate(np.where(differs, np.arange(len(shared)), 0))]
+    hit = np.sort(shared[above(none, docs, owner[shared], smallest)])
     if not len(hit):
         return None
     fresh = np.ones(len(hit), bool)
@@ -197,7 +204,7 @@ def count_bucket(blobs: list[bytes], length: int) -> pa.RecordBatch | None:
     head = np.flatnonzero(fresh)
     tail = np.append(head[1:], len(hit)) - 1
     o = owner[hit[head]]
-    return spans_batch(docs[o], keys[o], place[hit[head]], place[hit[tail]] + length, np.zeros(len(head)))
+    return spans_batch(none[o], docs[o], keys[o], place[hit[head]], place[hit[tail]] + length, np.zeros(len(head)))
 
 
 def count_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -208,17 +215,17 @@ def count_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         blobs = batch.column(1)
         settled = batch.filter(blobs.is_null())
         if settled.num_rows:
-            yield settled.select(["doc", "key", "from", "to"])
+            yield settled.select(SPAN)
         for bucket, blob in zip(buckets, blobs, strict=True):
             if not blob.is_valid:
                 continue
             if bucket != now:
                 if held and (out := count_bucket(held, length)):
-                    yield out.select(["doc", "key", "from", "to"])
+                    yield out.select(SPAN)
                 now, held = bucket, []
             held.append(blob.as_py())
     if held and (out := count_bucket(held, length)):
-        yield out.select(["doc", "key", "from", "to"])
+        yield out.select(SPAN)
 
 
 def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +233,7 @@ def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shrink = zstandard.ZstdCompressor(level=1).compress
     for batch in chunks(batches, "text"):
         packed = pa.array([None if t is None else shrink(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "doc", "key", "packed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "id", "key", "packed"])
 
 
 def unpressed(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -294,18 +301,23 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     don't remove each other's words. An empty table gives no rows. Other columns are ignored.
     """
     ship(docs.sparkSession)
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-    rows = docs.select(ident.alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    n_rows, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    ident, text = identifier(F.col(id_col)), F.col(text_col).alias("text")
+    rows = docs.select(ident.alias("id"), F.xxhash64(text_col).alias("key"), text)
+    n_rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     n_buckets = max(64, int(size * STRINGS_A_TEXT) // BUCKET_BYTES)
-    hot = hot_minimisers(rows, n_rows, length, minimiser)
-    packed = rows.mapInArrow(lambda it: cut(it, length, minimiser, n_buckets, hot), "bucket long, blob binary, doc long, key long, `from` long, `to` long")
-    spans = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: count_windows(it, length), "doc long, key long, `from` long, `to` long")
-    per_doc = spans.groupBy("doc", "key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    hot = hot_minimisers(docs.select(text), n_rows, length, minimiser)
+    span = "none boolean, doc long, key long, `from` long, `to` long"
+    packed = rows.mapInArrow(lambda it: cut(it, length, minimiser, n_buckets, hot), f"bucket long, blob binary, {span}")
+    # as many tasks as the strings need, each with its share of the buckets
+    n_tasks = -(-n_buckets // BUCKETS_A_TASK)
+    dealt = packed.repartitionById(n_tasks, (F.col("bucket") % n_tasks).cast("int"))
+    spans = dealt.sortWithinPartitions("bucket").mapInArrow(lambda it: count_windows(it, length), span)
+    per_doc = spans.groupBy(F.struct("none", F.col("doc").alias("value")).alias("id"), "key").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
-    whole = docs.select(F.col(id_col).alias("doc_id"), ident.alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    whole = whole.mapInArrow(press, f"doc_id {kind}, doc long, key long, packed binary")
-    joined = whole.join(per_doc, ["doc", "key"], "left").select("doc_id", "packed", "spans")
+    whole = docs.select(F.col(id_col).alias("doc_id"), ident.alias("id"), F.xxhash64(text_col).alias("key"), text)
+    whole = whole.mapInArrow(press, f"doc_id {kind}, id struct<none:boolean,value:bigint>, key long, packed binary")
+    n_joined = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // JOIN_BYTES))
+    joined = whole.repartition(n_joined, "id", "key").join(per_doc, ["id", "key"], "left").select("doc_id", "packed", "spans")
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return joined.mapInArrow(lambda it: drop_spans(it, with_text), schema)
 
