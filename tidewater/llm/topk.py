@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, ship
-from .substrings import LAST_ID
+from .common import discard, save, ship
 
 #: Rows from which pivots and first thresholds are taken, queries broadcast at once (8 kB each at most 512 components
 #: and 64 pivots), pivots looked at between two eliminations, candidates evaluated between two looks at the bound.
 SAMPLE, BLOCK, PIVOT_STEP, STEP = 2048, 8192, 16, 128
-#: Below this, sums of products are exact in doubles.
-EXACT = 2.0**53
+#: Below this, sums of products are exact in doubles; from WHOLE on, doubles are whole numbers.
+EXACT, WHOLE = 2.0**53, 2.0**52
+#: Stands for a null identifier while partitions are searched: above every long.
+NO_ID = 2**63
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -71,7 +72,7 @@ def search(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.Rec
     table = distances(queries, pivots)
     norms = (queries * queries).sum(1)
     for batch in batches:
-        ids = batch.column(0).to_numpy()
+        ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], object)
         x = batch.column(1).flatten().to_numpy().reshape(len(ids), queries.shape[1])
         own = distances(x, pivots)  # the pivot table
         square = (x * x).sum(1)
@@ -91,7 +92,7 @@ def search(batches: Iterator[pa.RecordBatch], shared, k: int) -> Iterator[pa.Rec
                     break
                 rows = alive[i : i + STEP]
                 best[q].add(scores_of(x[rows], queries[q]), ids[rows].tolist())
-    found = [(q, -i, s) for q, b in enumerate(best) for s, i in b.heap]
+    found = [(q, None if i == -NO_ID else -i, s) for q, b in enumerate(best) for s, i in b.heap]
     yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["q", "vec_id", "score"])
 
 
@@ -104,27 +105,29 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
     go without being evaluated; the others are evaluated in the order of their bounds until the next bound falls short. The first
     thresholds come from the sample that the pivots come from, so they are scores that some rows do reach.
 
-    Queries are taken in blocks of a fixed number; each block is broadcast and held against all rows, which stay where they are read.
-    A partition gives k + 1 rows a query at most.
+    Queries are taken in blocks of a fixed number, one after the other: a block is broadcast, held against all rows, which stay where
+    they are read, its result is written to the shared folder, and its broadcast is dropped. A partition gives k + 1 rows a query at most.
 
-    Vectors that are null or hold a null or a non-finite component take no part; neither do queries with a null identifier. A candidate with a null
-    identifier comes after all others of its score. Vectors of different lengths don't meet. Of repeated rows each is
-    a query, and a candidate for the others. Scores beyond a long are held to its limits. An empty table gives no rows.
+    Vectors that are null or hold a null or a non-finite component (also after scaling) take no part; neither do queries with a null
+    identifier. A candidate with a null identifier comes after all others of its score. Vectors of different lengths don't meet. Of repeated
+    rows each is a query, and a candidate for the others. Scores beyond a long are held to its limits. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
-    sound = F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    scaled = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    large = F.transform(vec_col, lambda x: x.cast("double") * scale)  # whole numbers already, and beyond what floor gives as a long
-    vec = F.when(F.exists(vec_col, lambda x: F.abs(x.cast("double")) >= 2.0**52), F.transform(large, lambda x: F.rint(x))).otherwise(scaled)
-    rows = vectors.where(sound).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), vec.alias("vec"), (is_query & F.col(id_col).isNotNull()).alias("asks"))
+
+    def scaled(x: Column) -> Column:
+        return x.cast("double") * scale
+
+    sound = F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(scaled(x)) == float("inf")))
+    vec = F.transform(vec_col, lambda x: F.when(F.abs(scaled(x)) < WHOLE, F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), (is_query & F.col(id_col).isNotNull()).alias("asks"))
     queries = save(rows.where("asks").groupBy("id", "vec").agg(F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("vec")), "topk-queries")
-    out = None
+    results: list[DataFrame] = []
     for dim, n in sorted(queries.groupBy("dim").count().collect()):
         own = queries.where(F.col("dim") == dim)
         n_blocks = -(-n // BLOCK)
         same = rows.where(F.size("vec") == dim).select("id", "vec")
-        chosen = same.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        chosen = same.orderBy(F.xxhash64("id", "vec"), "id").limit(SAMPLE).collect()
         sample = np.array([r.vec for r in chosen], float).reshape(len(chosen), dim)
         pivots = spread_out(sample, n_pivots)
         for b in range(n_blocks):
@@ -138,7 +141,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                 floors.append(float(s[k]) if len(s) > k else -float("inf"))
             shared = spark.sparkContext.broadcast((matrix, floors, pivots))
             found = same.mapInArrow(_searcher(shared, k + 1), "q long, vec_id long, score long")
-            by_query = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+            by_query = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
             found = found.withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k + 1)
             names = spark.createDataFrame([(i, r.id, scores_of(matrix[i : i + 1], matrix[i])[0], r.times) for i, r in enumerate(block)], "q long, query_id long, self long, times long")
             # one row that is the query itself goes
@@ -146,9 +149,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
             at = F.min(F.when(itself, F.col("place"))).over(Window.partitionBy("q"))
             found = found.join(F.broadcast(names), "q").withColumn("_at", at).where(F.col("_at").isNull() | (F.col("place") != F.col("_at")))
             found = found.withColumn("rank", F.col("place") - F.when(F.col("_at") < F.col("place"), 1).otherwise(0)).where(F.col("rank") <= k)
-            found = found.select("query_id", F.explode(F.sequence(F.lit(1), "times")).alias("_time"), F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != LAST_ID, F.col("vec_id")).alias("vec_id"), "score").drop("_time")
-            out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            results.append(save(found.select("query_id", F.explode(F.sequence(F.lit(1), "times")).alias("_time"), F.col("rank").cast("int").alias("rank"), "vec_id", "score").drop("_time"), "topk-result"))
+            shared.unpersist()
+    discard(queries)
+    if not results:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return spark.read.schema(results[0].schema).parquet(*[r._tidewater_path for r in results])
 
 
 def _searcher(shared, k: int):
