@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import LOWER, SPACE, chunks, find_words, segment_hash, text_bytes
-from .common import ship
+from .common import fresh, ship
 
-#: Most labelled rows that the trees are fitted on: those of least hash.
+#: Most labelled texts that the trees are fitted on: those of least hash.
 TRAINING_ROWS = 20_000
 #: From this score on a document is predicted to be of good quality.
 THRESHOLD = 0.3
@@ -176,51 +177,63 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 120, depth: int = 4,
 
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, doc_id, tkey, text) to (label, doc_id, tkey, x), the text's statistics."""
     for batch in chunks(batches, "text"):
-        x = statistics(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], names=["label", "x"])
+        x = statistics(batch.column(3))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], names=["label", "doc_id", "tkey", "x"])
 
 
-def apply(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
+def apply(batches: Iterator[pa.RecordBatch], shared, text_col: str, name: str) -> Iterator[pa.RecordBatch]:
     trees = shared.value
-    for batch in chunks(batches, "text"):
-        score = trees.score(statistics(batch.column(batch.schema.get_field_index("text"))))
+    for batch in chunks(batches, text_col):
+        score = trees.score(statistics(batch.column(batch.schema.get_field_index(text_col))))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents, those of least hash, of the four folds in five that may be learnt from."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(label, doc_id, tkey, text): the rows of at most ``most`` different labelled texts, those of least hash, of the four folds in
+    five that may be learnt from. Only identifiers and hashes are sorted and broadcast; texts stay where they are read, so rows that
+    repeat one (doc_id, text) are all there. Of several labels of one identifier the least counts."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
-    chosen = labels.where((fold != 0) & F.col(label).isNotNull()).select(F.col("doc_id").alias("l_id"), F.col(label).cast("double").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("l_id"), "l_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("label", "text", "doc_id")
+    known = labels.where((fold != 0) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("double")).alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+    keys = keyed.select("doc_id", "tkey").join(F.broadcast(known), "doc_id").distinct().orderBy(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey").limit(most)
+    return keyed.join(F.broadcast(keys), ["doc_id", "tkey"]).select("label", "doc_id", "tkey", "text")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Trees:
-    """Trees fitted on a bounded sample of labelled documents; texts are measured where they are, the driver
-    gets the sample's numbers only. Rows that share an identifier share its label; the sample is bounded all the same."""
+    """Trees fitted on a bounded sample of labelled documents. Each text is measured by the task that reads it; the driver
+    gets at most ``most`` rows of numbers, sorted, so that reruns agree.
+
+    Nulls: rows with a null label or identifier are not learnt from; a null text counts as empty. Without labels, or with one kind of label only, or too few,
+    the trees give every text the share of label 1 (one half where there is none). Repeated rows count once. Other columns are ignored.
+    """
     ship(docs.sparkSession)
-    rows = training_sample(docs, labels, "quality", most).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(most).select("label", "text")
-    found = rows.mapInArrow(measure, "label double, x array<double>").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    measured = training_rows(docs, labels, "quality", most).mapInArrow(measure, f"label double, doc_id {kind}, tkey long, x array<double>")
+    found = measured.dropDuplicates(["doc_id", "tkey"]).orderBy(F.xxhash64("doc_id", "tkey"), "doc_id", "tkey").limit(most).toArrow()
     x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return fit_trees(x, found["label"].to_numpy())
 
 
-def score_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
-    """docs with a column ``name``: 0 to 1, higher where label 1 is likelier. Every text is read whole; nothing is shuffled.
+def score_quality(docs: DataFrame, trees: Trees, name: str = "score", text_col: str = "text") -> DataFrame:
+    """docs with one more column, the last: 0 to 1, higher where label 1 is likelier. It is called ``name``, with underscores added
+    where docs has a column of that name already. Every text is read whole; nothing is shuffled.
 
     Nulls: a null text counts as empty; an empty text has all statistics zero and its score like any other. Repeated rows
     are scored alike; an empty table gives none. All columns pass through as they are.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", {name} double"
-    return docs.mapInArrow(_scorer(shared, name), schema)
+    name = fresh(docs, name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_scorer(shared, text_col, name), schema)
 
 
-def _scorer(shared, name: str):
+def _scorer(shared, text_col: str, name: str):
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return apply(batches, shared, name)
+        return apply(batches, shared, text_col, name)
 
     return scorer
 
