@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,6 +23,29 @@ NONE = np.iinfo(np.int64).max
 REMEMBERED = 200_000
 
 
+# Letters and numbers that Unicode 16, the version by which the tokenizers library splits, added to 15.1, Python's; capitals of
+# versions 16 and 17, by which it makes small letters; and the one pair that Python composes and the library doesn't.
+ADDED = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x11DE0, 0x11DE9), (0x1246F, 0x1246F),
+    (0x12475, 0x1247F), (0x12550, 0x12686), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x16FF4, 0x16FF6), (0x18CFF, 0x18CFF),
+    (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}}
+SMALL |= {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
+APART = "\U00011935\U00011930"
+#: Neither letter, number nor white space in any version.
+PRIVATE = "\ue000"
+
+
+def later_letters() -> re.Pattern:
+    """Letters and numbers of the regex module that the library doesn't know as such: those that Python doesn't know and Unicode 16 hasn't added."""
+    known = {c for low, high in ADDED for c in range(low, high + 1)}
+    unassigned = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in known and unicodedata.category(chr(c)) == "Cn")
+    later = regex.findall(r"[\p{L}\p{N}]+", unassigned)
+    return re.compile("[" + "".join(map(re.escape, later)) + "".join(map(chr, SMALL)) + "]")
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where it is printable,
     else the next code point from 256 on."""
@@ -41,6 +65,7 @@ class Vocabulary:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        self.later = later_letters()
         names = dict(self.ids) | self.added
         self.size = max(names.values()) + 1
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -119,11 +144,15 @@ class Vocabulary:
         return out, count
 
     def words_of(self, text: str) -> list[str]:
-        if not text.isascii():
-            if not unicodedata.is_normalized("NFC", text):
-                text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # letters are lower-cased one by one: no final sigma
-        return self.pattern.findall(text.lower())
+        if text.isascii():
+            return self.pattern.findall(text.lower())
+        if not unicodedata.is_normalized("NFC", text):
+            text = APART.join(unicodedata.normalize("NFC", part) for part in text.split(APART))
+        text = text.replace("Σ", "σ").lower()  # letters are lower-cased one by one: no final sigma
+        if not self.later.search(text):
+            return self.pattern.findall(text)
+        text = text.translate(SMALL)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.later.sub(PRIVATE, text))]
 
     def pieces(self, text: str) -> list[str | int]:
         if self.split_added is None or "<" not in text:
