@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import threading
 
 import duckdb
 import numpy as np
@@ -195,3 +196,37 @@ def test_plans_of_order_and_limit(cost):
     assert "TakeOrderedAndProject" in top and "Exchange" not in top
     scan = plan("select cost / 2 as half from read_files('cost.parquet') where text = 'world'")
     assert "EqualTo(text,world)" in scan and "ReadSchema: struct<cost:int,text:string>" in scan and "Exchange" not in scan
+
+
+def test_nulls_and_predicates(engine, tmp_path):
+    put(tmp_path, "n.parquet", k=pa.array([1, 2, 3, None], pa.int32()), s=["ab", None, "Abc", ""], b=[True, None, False, None], f=pa.array([1.5, None, -2.5, 0.0], pa.float32()), d=[datetime.date(2020, 1, 1), None, datetime.date(2021, 5, 5), None])
+    q = lambda e: [r[0] for r in values(engine.sql(f"select {e} as x from read_files('n.parquet')"))]
+    assert q("k is null") == [False, False, False, True] and q("s is not null") == [True, False, True, True]
+    assert q("k in (1, 3)") == [True, False, True, None] and q("k in (1, null)") == [True, None, None, None] and q("k not in (2)") == [True, False, True, None]
+    assert q("k between 2 and 3") == [False, True, True, None] and q("s like 'a%'") == [True, None, False, False] and q("s ilike 'a_'") == [True, None, False, False]
+    assert q("s <=> null") == [False, True, False, False] and q("s = null") == [None] * 4 and q("b xor true") == [False, None, True, None]
+    assert q("s || '!'") == ["ab!", None, "Abc!", "!"] and q("k | 4") == [5, 6, 7, None] and q("k ^ 1") == [0, 3, 2, None]
+    assert q("case when k > 1 then 'x' end") == [None, "x", "x", None] and q("case k when 1 then 1.5 else k end") == [1.5, 2.0, 3.0, None]
+    assert q("coalesce(k, 0)") == [1, 2, 3, 0] and q("nullif(k, 2)") == [1, None, 3, None] and q("length(s)") == [2, None, 3, 0] and q("substr(s, 2)") == ["b", None, "bc", ""]
+    assert q("cast(k as varchar)") == ["1", "2", "3", None] and q("cast(f as int)") == [1, None, -2, 0] and q("floor(f)") == [1.0, None, -3.0, 0.0] and q("round(f)") == [2.0, None, -3.0, 0.0]
+    assert q("d > date '2020-06-01'") == [False, None, True, None] and q("d < timestamp '2020-01-01 00:00:01'") == [True, None, False, None]
+    assert values(engine.sql("select k from read_files('n.parquet') where b is null order by k desc")) == [(None,), (2,)]
+    for e in ("k || 's'", "f & 1", "k in ('x')", "k like '1'", "upper(k)", "abs(s)", "case when s then 1 end", "case when b then 1 else 'x' end", "cast(k as money)", "nullif(k)", "cast(k as decimal(50, 2))"):
+        with pytest.raises(errors.CoercionError):
+            engine.sql(f"select {e} as x from read_files('n.parquet')")
+
+
+def test_cancelled_before_it_starts(engine, tmp_path):
+    put(tmp_path, "c.parquet", a=[1, 2, 3])
+    from tidewater.engine import QueryHandle, Status
+
+    handle = QueryHandle(engine, "queued", "select")
+    handle.cancel()
+    thread = threading.Thread(target=handle._run, args=(engine.sql("select * from read_files('c.parquet')"),))
+    thread.start()
+    thread.join()
+    assert handle.status is Status.CANCELLED and handle.result is None and handle.wait(1) is Status.CANCELLED
+    done = engine.run("select * from read_files('c.parquet')")
+    engine.release(done.id)
+    with pytest.raises(errors.QueryNotFoundError):
+        engine.query(done.id)

@@ -2,6 +2,10 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,3 +44,19 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
+
+
+def test_without_the_subpackage(tmp_path):
+    """The folders for training data and the pipeline can be taken away."""
+    top = Path(entry.__file__).resolve().parent
+    for name in ("tidewater", "tests"):
+        shutil.copytree(top / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (top / name).exists():
+            shutil.copy(top / name, tmp_path / name)
+    for left in (True, False):
+        if not left:
+            (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e, tidewater.cli; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+        assert said.returncode == 0, said.stderr
+        assert said.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))]

@@ -49,6 +49,7 @@ class QueryHandle:
 
     def __post_init__(self) -> None:
         self._done = threading.Event()
+        self._asked = False
 
     @property
     def tag(self) -> str:
@@ -60,9 +61,10 @@ class QueryHandle:
         return self.status
 
     def cancel(self) -> None:
+        """Ends the query, also one whose first job hasn't started yet."""
         if not self.status.final:
             self._asked = True
-            self.engine.spark.sparkContext.cancelJobGroup(self.tag)
+            self.engine.spark.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self.tag)
 
     def rows(self) -> Result:
         if self.status is not Status.COMPLETE:
@@ -78,8 +80,10 @@ class QueryHandle:
     def _run(self, df: DataFrame) -> None:
         spark = self.engine.spark
         spark.sparkContext.setJobGroup(self.tag, self.text, interruptOnCancel=True)
-        self.status = Status.RUNNING
         try:
+            if self._asked:
+                raise QueryFailedError("the query was cancelled before it started")
+            self.status = Status.RUNNING
             path = f"{self.engine.connections.use(spark, self.engine.results).url}/query_results/{self.id}"
             if df.columns:
                 write_result(df, path)
@@ -89,7 +93,7 @@ class QueryHandle:
             self.status = Status.COMPLETE
         except Exception as e:
             self.error = str(e)
-            self.status = Status.CANCELLED if getattr(self, "_asked", False) else Status.ERROR
+            self.status = Status.CANCELLED if self._asked else Status.ERROR
         finally:
             self._done.set()
 
@@ -151,6 +155,12 @@ class Engine:
                 raise QueryNotFoundError(f"no query {query_id}")
             return self._queries[query_id]
 
+    def release(self, query_id: str) -> None:
+        """Forgets a query that has ended; what it wrote stays."""
+        with self._lock:
+            if query_id in self._queries and self._queries[query_id].status.final:
+                del self._queries[query_id]
+
     def run(self, text: str, timeout: float | None = 60) -> QueryHandle:
         """Submits, waits, and raises what went wrong."""
         handle = self.submit(text)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Literal:
-    kind: str  # number, string, boolean
+    kind: str  # number, string, boolean, null, date, timestamp
     text: str
 
 
@@ -18,7 +18,7 @@ class Name:
 
 @dataclass(frozen=True)
 class Unary:
-    op: str  # -, +, NOT
+    op: str  # -, +, NOT, IS NULL, IS NOT NULL
     operand: Expr
 
 
@@ -29,7 +29,42 @@ class Binary:
     right: Expr
 
 
-Expr = Literal | Name | Unary | Binary
+@dataclass(frozen=True)
+class Among:
+    """operand IN (items)."""
+
+    operand: Expr
+    items: tuple[Expr, ...]
+
+
+@dataclass(frozen=True)
+class Like:
+    operand: Expr
+    pattern: Expr
+    any_case: bool = False
+
+
+@dataclass(frozen=True)
+class Case:
+    """Of conditions and their values, the first that holds."""
+
+    branches: tuple[tuple[Expr, Expr], ...]
+    otherwise: Expr | None = None
+
+
+@dataclass(frozen=True)
+class Cast:
+    operand: Expr
+    type: str
+
+
+@dataclass(frozen=True)
+class Call:
+    function: str
+    arguments: tuple[Expr, ...]
+
+
+Expr = Literal | Name | Unary | Binary | Among | Like | Case | Cast | Call
 
 
 @dataclass(frozen=True)
