@@ -51,28 +51,32 @@ def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block: int = 4096, cap: int = 3) -> DataFrame:
-    """One row per document: ``doc_id, source, size, source_size, target, taken`` (words; repeats counted).
+    """One row per document: ``doc_id, text_key, source, size, source_size, target, taken`` (words; repeats counted), ``slots``.
 
-    Each source's documents are shuffled by a hash, laid end to end and cut into blocks of equally many
-    words (``block``, less where the corpus is small). Slot i of the schedule takes the van der Corput point of i,
+    Each source's documents are shuffled by a hash, laid end to end and cut into blocks of ``block``
+    words. Slot i of the schedule takes the van der Corput point of i,
     which falls into one source's share of the unit interval; slots are ranked within their source, and the
     slot of rank r takes the source's r-th block, from the first again after the last. The last slot of a source
-    takes just what its target leaves; should the schedule be short of a slot or two there, they are added at its
-    end. So a source's taken words equal its target, rounded, and no document exceeds ``cap`` times its size.
+    takes just what its target leaves. Where a source's points fall short of its slots, some are added at the schedule's end: log2 of the number of
+    slots plus cap + 2 at most, since the points' share of an interval is off by no more and each cycle's last block may be a short one.
+    So a source's taken words equal its target, rounded, and no document exceeds ``cap`` times its size.
+    ``slots`` are the places in the schedule of the block that a document begins in, one for each time it is taken: in their order the sources are mixed.
 
     A hot source is dealt out by hash buckets: no task sorts or counts a source as a whole. Texts are read
     once; everything after that is a few numbers a document.
 
     Nulls: a null text has size 0, a null source is the last source, a null identifier is passed through.
-    Documents without words take part with 0. Repeated rows are documents of their own. An empty table gives no rows.
+    Documents without words take part with 0. Repeated rows are documents of their own. An empty table gives no rows. Other columns are ignored.
+    Documents of one identifier are told apart by ``text_key``, the 64-bit hash of their texts.
     """
     spark = docs.sparkSession
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(word_count(F.col(text_col)), F.lit(0)).alias("size"))
-    sizes = save(read.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
+    read = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(source_col).alias("source"), F.coalesce(word_count(F.col(text_col)), F.lit(0)).alias("size"))
+    sizes = save(read.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text_key")), "mix-sizes")
     targets = save(source_targets(sizes, cap), "mix-targets")
     n_sources, n_words = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda x: x)
-    block = max(16, min(block, n_words // 2**14), n_words // 2**32 + 1)  # the last: radical_inverse takes 32 bits
+    if n_words // block >= 2**32:
+        raise ValueError(f"{n_words} words take blocks of more than {n_words >> 32} words: the schedule has 2**32 slots")
 
     whole = F.floor(F.col("target") + 0.5).cast("long")
     plan = (
@@ -91,23 +95,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), radical_inverse(F.col("id")).alias("point")).withColumn("cell", F.floor(F.col("point") * grid))
     cells = plan.where("hi > lo").select("p_source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * grid), F.floor(F.col("hi") * grid))).alias("cell"))
     chosen = slots.join(cells, "cell").where("point >= lo and point < hi").select(F.col("p_source").alias("source"), "slot", F.floor(F.col("slot") / max(1, n_slots // 1024)).alias("part"))
-    ranked = running_total(chosen, "source", "part", ["slot"], F.lit(1), "rank").select("source", "rank")
+    ranked = running_total(chosen, "source", "part", ["slot"], F.lit(1), "rank").select("source", "rank", "slot")
     filled = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("_filled")).withColumnRenamed("source", "f_source")
     short = plan.join(filled, F.col("p_source").eqNullSafe(F.col("f_source")), "left").withColumn("_filled", F.coalesce("_filled", F.lit(0)))
-    closing = short.where("_filled < _slots").select(F.col("p_source").alias("source"), F.explode(F.sequence(F.col("_filled"), F.col("_slots") - 1)).alias("rank"))
+    closing = short.where("_filled < _slots").select(F.col("p_source").alias("source"), F.explode(F.sequence(F.col("_filled"), F.col("_slots") - 1)).alias("rank")).withColumn("slot", F.lit(n_slots) + F.col("rank"))
     planned = small(plan)
     used = ranked.unionByName(closing).join(planned, F.col("source").eqNullSafe(F.col("p_source"))).where("rank < _slots")
     in_cycle = F.col("rank") < F.col("_cycles") * F.col("_blocks")
     last = (~in_cycle) & (F.col("rank") == F.col("_slots") - 1)
     taken_blocks = (
         used.select(
-            "source",
+            "source", "slot",
             F.when(in_cycle, F.col("rank") % F.col("_blocks")).otherwise(F.col("rank") - F.col("_cycles") * F.col("_blocks")).alias("block"),
             F.when(last, 0).otherwise(1).alias("_full"),
             F.when(last, F.col("_rest") - (F.col("rank") - F.col("_cycles") * F.col("_blocks")) * block).otherwise(F.lit(0)).alias("_part"),
         )
         .groupBy("source", "block")
-        .agg(F.sum("_full").alias("_full"), F.max("_part").alias("_part"))
+        .agg(F.sum("_full").alias("_full"), F.max("_part").alias("_part"), F.sort_array(F.collect_list("slot")).alias("_slots"))
         .withColumnRenamed("source", "b_source")
         .withColumnRenamed("block", "b_block")
     )
@@ -115,36 +119,42 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the documents' places in their source
     n_docs = sizes.count()
     bits = max(10, math.ceil(math.log2(max(1, n_docs / 2048))))
-    placed = running_total(sizes.where("size > 0").withColumn("bucket", F.shiftrightunsigned("key", 64 - bits)), "source", "bucket", ["key", "doc_id", "size"], F.col("size"), "start")
+    placed = running_total(sizes.where("size > 0").withColumn("bucket", F.shiftrightunsigned("key", 64 - bits)), "source", "bucket", ["key", "doc_id", "text_key"], F.col("size"), "start")
     pieces = placed.select(
-        "source", "doc_id", "size", "start",
+        "source", "doc_id", "text_key", "size", "start",
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"),
     )
     joined = pieces.join(taken_blocks, pieces["source"].eqNullSafe(F.col("b_source")) & (pieces["block"] == F.col("b_block")), "left")
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block)
     words = F.coalesce(F.col("_full"), F.lit(0)) * (high - low) + F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.coalesce(F.col("_part"), F.lit(0))) - low)
-    taken = joined.groupBy("source", "start", "doc_id", "size").agg(F.sum(words).alias("taken"))
-    everyone = taken.select("doc_id", "source", "size", "taken").unionByName(sizes.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
+    taken = joined.groupBy("source", "start", "doc_id", "text_key", "size").agg(F.sum(words).alias("taken"), F.min_by(F.coalesce("_slots", F.array().cast("array<long>")), "block").alias("slots"))
+    wordless = sizes.where("size = 0").select("doc_id", "text_key", "source", "size", F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("slots"))
+    everyone = taken.select(wordless.columns).unionByName(wordless)
     about = small(targets.select(F.col("source").alias("t_source"), "source_size", "target"))
     return everyone.join(about, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken")
+        "doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"), "slots"
     )
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: taken / size, rounded, for documents with words;
-    those without words cost nothing and go. Repeated rows each follow the mix on their own.
+def mixed_documents(docs: DataFrame, block: int = 4096) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, in the order of the schedule: taken / size times, rounded, for documents with words;
+    those without words cost nothing and go. Repeated rows each follow the mix on their own. The columns are those of ``docs``.
 
-    The mix has one row per document, so the join is on identifier, source and size; it is salted by nothing
-    because no identifier is hot.
+    The mix has one row per document. The join is on identifier, text hash and source, so that nulls in one of them make no hot key.
     """
-    size, times, time = (fresh(docs, name) for name in ("_size", "_times", "_time"))
-    mixed = mix_sources(docs).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    mixed = mixed.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times)).where(F.col(times) > 0)
-    sized = docs.withColumn(size, F.coalesce(word_count(F.col("text")), F.lit(0)))
-    on = sized["doc_id"].eqNullSafe(mixed["m_id"]) & sized["source"].eqNullSafe(mixed["m_source"]) & (sized[size] == mixed["m_size"])
-    return sized.join(mixed, on).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[sized[c] for c in docs.columns])
+    key, times, slots, time, slot = (fresh(docs, name) for name in ("_key", "_times", "_slots", "_time", "_slot"))
+    mixed = mix_sources(docs, block=block).where("taken > 0").groupBy("doc_id", "text_key", "source", "size").agg(F.max(F.struct("taken", "slots")).alias("most"))
+    mixed = mixed.select(
+        F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("source").alias("m_source"),
+        F.floor(F.col("most.taken") / F.col("size") + 0.5).cast("int").alias(times), F.col("most.slots").alias(slots),
+    ).where(F.col(times) > 0)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    on = keyed["doc_id"].eqNullSafe(mixed["m_id"]) & (keyed[key] == mixed["m_key"]) & keyed["source"].eqNullSafe(mixed["m_source"])
+    copies = keyed.join(mixed, on).withColumn(time, F.explode(F.sequence(F.lit(1), F.col(times))))
+    # a document longer than a block may be taken once more than its first block is
+    placed = copies.withColumn(slot, F.coalesce(F.get(slots, F.least(F.col(time), F.size(slots)) - 1), F.lit(0)))
+    return placed.orderBy(slot).select(*[keyed[c] for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

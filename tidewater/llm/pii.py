@@ -103,13 +103,14 @@ def running_sums(numbers: Column) -> Column:
 
 
 def context_score(kind: str, pieces: Column, tails: Column, found: Column, i: Column) -> Column:
-    """What the words around match i make of its score: up to BEFORE code points before it, also across earlier matches, and AFTER after it."""
+    """What the words around match i make of its score: up to BEFORE code points before it, also across earlier matches, raise or lower it; up to AFTER
+    after it raise it only, for what is said of the next span often stands there."""
     plain, up, down = CONTEXT[kind]
     earlier = [x for k in range(ACROSS, 0, -1) for x in (F.get(tails, i - k), F.get(found, i - k))]
     before = F.right(F.concat(*[F.coalesce(x, F.lit("")) for x in (*earlier, F.get(tails, i))]), F.lit(BEFORE))
     near = F.lower(F.concat(before, F.lit("\n"), F.left(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(AFTER))))
     raised = F.when(near.rlike(rf"\b(?:{up})"), RAISE).otherwise(0.0)
-    return F.least(F.lit(1.0), F.lit(plain) + raised - F.when(near.rlike(rf"\b(?:{down})"), LOWER).otherwise(0.0))
+    return F.least(F.lit(1.0), F.lit(plain) + raised - F.when(F.lower(before).rlike(rf"\b(?:{down})"), LOWER).otherwise(0.0))
 
 
 def spans_of(text: Column, found: Column, kind: str) -> Column:
