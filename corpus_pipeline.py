@@ -18,14 +18,16 @@ from tidewater.llm.quality import THRESHOLD, fit_quality, score_quality
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. It learns from the rows of ``labels`` that are in docs."""
+    """Documents that the quality classifier doesn't reject. It learns from the rows of ``labels`` that are in docs. Null and empty texts are
+    scored like others, repeated rows alike; rows pass through as they are."""
     trees = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh(docs, "_score")
     return score_quality(docs, trees, score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for the case of A-Z) the one with the smallest identifier, and one row of it."""
+    """Of documents with equal texts (but for the case of A-Z; a null one counts as empty) the one with the smallest identifier, and one row of it;
+    a null identifier is larger than all others."""
     digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
     return kept_rows(docs, digest, exact_dedup(docs).where("kept").select("doc_id", "text_sha256"))
 
@@ -49,13 +51,14 @@ def kept_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, sources near their target weights."""
+    """The documents as often as the mix takes them, sources near their target weights, in the order of its schedule. Documents without words go;
+    repeated rows each follow the mix."""
     return mixed_documents(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encode_and_decode(docs, digests=True)
+    """Tokens of every row of the mix: doc_id, n_tokens, ids, and the text that they decode to. A null text has no tokens."""
+    return encode_and_decode(docs)
 
 
 STAGES = [
