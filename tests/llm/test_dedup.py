@@ -6,8 +6,8 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
+from tidewater.llm import common, near_dedup
 from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.substrings import drop_repeats
 
@@ -89,8 +89,42 @@ def test_no_documents(docs_of):
     assert [(r.n_shingles, r.kept) for r in near_duplicates(docs_of([(1, None), (2, "")])).collect()] == [(0, True)] * 2
 
 
+def test_low_percentages_are_refused(docs_of):
+    for percent in (50, 79, 101):
+        with pytest.raises(ValueError):
+            near_duplicates(docs_of([(1, "a")]), percent=percent)
+
+
+def test_hot_keys(docs_of, monkeypatch):
+    """Hot bands, hubs, components and sets are dealt to several tasks and give the same; the largest long is an identifier like any other."""
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(80)]
+    rows = [(i, edited(rng, base, rng.randrange(1, 4))) for i in range(250)] + [(None, "copies of one text with no identifier")] * 60 + [(5, "copies of one text with no identifier")] * 60
+    rows += [(2**63 - 1, "only the last identifier has this text"), (2**63 - 1, rows[0][1]), (-(2**63), "first of all")]
+    rows += [(1000 + k, " ".join(f"u{k}_{j}" for j in range(9))) for k in range(60)]
+    for name, value in (("HOT_LEAST", 20), ("HOT_KEYS", 50), ("HOT_PARTS", 7)):
+        monkeypatch.setattr(common, name, value)
+    seen = []
+    found = common.hot_keys
+    monkeypatch.setattr(near_dedup, "hot_keys", lambda table, key, n=None: seen.append((key, len(out := found(table, key, n)))) or out)
+    got = near_duplicates(docs_of(rows), shingle=3, percent=85).collect()
+    assert {"band", "a", "u", "c", "comp", "digest"} <= {key for key, n in seen if n}
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 3, 85)
+
+
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 10)
+    large = common.save(spark.range(3000).selectExpr("if(id % 3 > 0, 7, id) as k", "id"), "test")
+    small = spark.range(0, 3000, 2).selectExpr("id as k", "id * 10 as x").union(spark.createDataFrame([(7, 70)], "k long, x long"))
+    hot = common.hot_keys(large, "k")
+    assert hot == [7]
+    for how in ("inner", "left"):
+        plain = large.join(small, "k", how).select("k", "id", "x")
+        assert sorted(map(str, common.spread_join(large, small, "k", hot, how).select("k", "id", "x").collect())) == sorted(map(str, plain.collect()))
+
+
 def brute_repeats(rows, n):
-    last = 2**63 - 1
+    last = 2**63
     docs = [(last if i is None else i, i, WORD.findall(t or "")) for i, t, *_ in rows]
     least = {}
     for key, _, w in docs:
@@ -119,6 +153,7 @@ def test_repeats(docs_of, rough):
             words[at:at] = p
         rows.append((i, rng.choice([" ", "  ", "\n"]).join(words)))
     rows += [(200, "a " * 30), (201, "a\n" * 14 + "b"), (200, "c a " * 15), (None, "a " * 13), (202, " ".join(f"p{k}" for k in range(40)))]
+    rows += [(2**63 - 1, "q " * 20), (None, "q " * 20), (None, "r " * 20), (2**63 - 1, "r " * 20), (-(2**63), "r " * 14)]
     df = drop_repeats(docs_of(rows))
     assert sorted((tuple(r) for r in df.collect()), key=str) == brute_repeats(rows, 13)
     assert drop_repeats(docs_of([])).count() == 0
@@ -131,7 +166,7 @@ def test_hot_passage(docs_of, monkeypatch, bucket):
     monkeypatch.setattr(module, "BUCKET_BYTES", bucket)  # small buckets make the passage's minimisers hot
     rows = [(i, f"x{i} " + "very common passage of more than thirteen words that a third of all documents hold in full" + f" y{i}") for i in range(300)]
     docs = docs_of(rows)
-    hot = module.hot_minimisers(docs.select("doc_id", F.col("doc_id").alias("id"), "text"), 300, 13, 3)
+    hot = module.hot_minimisers(docs.select("text"), 300, 13, 3)
     assert len(hot) == (0 if bucket > 1 << 20 else len(hot) or -1)
     got = drop_repeats(docs).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_repeats(rows, 13)

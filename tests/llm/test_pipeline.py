@@ -89,4 +89,28 @@ def components_of(rows):
 
 def test_run(spark):
     df = corpus_pipeline.run(spark, DATA)
-    assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and df.count() > 0
+    assert df.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    rows = df.collect()
+    assert rows and all(r.n_tokens == len(r.ids) > 0 and r.decoded for r in rows)
+
+
+def test_odd_rows(spark, docs_of, rough):
+    """Each stage on nulls, empty and long texts, repeated rows and columns with names that operators use, then on no rows at all."""
+    docs = docs_of(rough)
+    counts = lambda df: collections.Counter(map(str, df.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        if name == "bpe":
+            assert len(out.collect()) == len(rough) and {r.n_tokens for r in out.collect() if r.decoded == ""} == {0}
+        else:
+            assert out.columns == docs.columns
+        if name == "quality":
+            assert not counts(out) - counts(docs)
+        if name == "exact_dedup":
+            assert out.count() == len({(t or "").translate(ASCII) for _, t, _ in rough})
+        if name == "near_dedup":
+            assert out.count() == len(components_of([r[:2] for r in rough]))
+        if name == "mixing":
+            worded = {str(r) for r in docs.where("text rlike '[^\\\\s]'").collect()}
+            assert set(counts(out)) <= worded
+        assert stage(spark, docs_of([]), DATA).count() == 0

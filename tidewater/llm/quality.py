@@ -183,11 +183,11 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], names=["label", "doc_id", "tkey", "x"])
 
 
-def apply(batches: Iterator[pa.RecordBatch], shared, text_col: str, name: str) -> Iterator[pa.RecordBatch]:
+def apply(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
     trees = shared.value
     for batch in chunks(batches, text_col):
         score = trees.score(statistics(batch.column(batch.schema.get_field_index(text_col))))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -226,14 +226,15 @@ def score_quality(docs: DataFrame, trees: Trees, name: str = "score", text_col:
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    name = fresh(docs, name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(_scorer(shared, text_col, name), schema)
+    # under plain names, whatever those of docs are
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)), T.StructField("score", T.DoubleType())])
+    return docs.toDF(*plain).mapInArrow(_scorer(shared, plain[docs.columns.index(text_col)]), schema).toDF(*docs.columns, fresh(docs, name))
 
 
-def _scorer(shared, text_col: str, name: str):
+def _scorer(shared, text_col: str):
     def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return apply(batches, shared, text_col, name)
+        return apply(batches, shared, text_col)
 
     return scorer
 
