@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 
 import pytest
 
@@ -110,6 +111,35 @@ def test_command_line(spark, tmp_path):
     assert "| 3  |" in out.getvalue() and "ColumnNotFoundError" in out.getvalue() and "statement 3 of 3" in out.getvalue()
 
 
+def test_view(spark, tmp_path):
+    """Moves through results by keys; a failing statement is passed over."""
+    write_sample(spark, str(tmp_path), "simple")
+    sql = tmp_path / "q.sql"
+    sql.write_text("select id from read_files('simple/*.parquet') order by id; select nothing from t; select id from read_files('simple/*.parquet') where id = 3")
+    out = io.StringIO()
+    assert main(["view", str(sql), "--root", str(tmp_path), "--page", "10"], out, io.StringIO("n\np\nl\n4\nf\ns\nq\n")) == 1
+    shown_pages = [re.findall(r"\| (\d+) +\|", part) for part in out.getvalue().split("q quit")]
+    assert shown_pages == [[str(k) for k in rows] for rows in (range(10), range(10, 20), range(10), range(90, 100), range(90, 94), range(4), [3])] + [[]]
+    assert "UnknownTableError" in out.getvalue()
+
+
+def test_folders_of_many_files(spark, tmp_path):
+    """Where a pattern matches all files of a folder, Spark is given the folder; a file that doesn't match keeps out."""
+    from tidewater.sources.globs import matching_files
+
+    for name in ("d/a.parquet", "d/e/b.parquet", "d/e/k=1/c.parquet"):
+        spark.range(3).coalesce(1).write.parquet(f"file://{tmp_path}/tmp-{name.replace('/', '-')}")
+        (found,) = (tmp_path / f"tmp-{name.replace('/', '-')}").glob("*.parquet")
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        found.rename(tmp_path / name)
+    engine = Engine(spark, root=str(tmp_path))
+    root = f"file://{tmp_path}"
+    assert matching_files(spark, root, "d/*.parquet").folder.endswith("/d") and matching_files(spark, root, "d/e/b*").folder is None
+    df = engine.sql("select * from read_files('d/*.parquet')")
+    assert df.columns == ["id"] and df.count() == 9
+    assert engine.sql("select * from read_files('d/e/b*')").count() == 3
+
+
 def test_connections(tmp_path):
     config = {"connections": [{"name": "default", "connection_type": {"Fs": {"root": str(tmp_path)}}}, {"name": "s", "connection_type": {"S3": {"endpoint": "http://localhost:9000", "access_key_id": "a", "secret_access_key_id": "b", "bucket": "bk", "root": "/r/", "region": "eu", "force_path_style": True}}}]}
     (tmp_path / "c.json").write_text(json.dumps(config))

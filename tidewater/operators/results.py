@@ -158,6 +158,20 @@ class Pager:
         self.current = self.result.page(START, window, True)
         return self.current
 
+    def last(self, window: int) -> Page | None:
+        self.current = self.result.page(END, window, False) or self.current
+        return self.current
+
+    def resize(self, window: int) -> Page | None:
+        """A window of another size from the first row shown on; near the end, filled up from before it."""
+        if self.current is None:
+            return self.first(window)
+        page = self.result.page(self.current.offsets[0], window, True)
+        if page and len(page.rows) < window:
+            page = self.result.page(END, window, False) or page
+        self.current = page or self.current
+        return self.current
+
     def next(self, window: int, forward: bool = True) -> Page | None:
         """The page after (or before) the current one; at an end the current one stays."""
         if self.current is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
@@ -64,8 +65,16 @@ def escaped(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
-    """Full paths of the files under root whose path from there matches, in order. A path without special characters is just
+@dataclass(frozen=True)
+class Matched:
+    """Full paths of files, in order; ``folder`` where these are all the files of a folder and those below it."""
+
+    paths: list[str]
+    folder: str | None = None
+
+
+def matching_files(spark: SparkSession, root: str, glob: str) -> Matched:
+    """The files under root whose path from there matches. A path without special characters is just
     looked up. Otherwise Spark lists one folder tree, the one that all matches are in, in parallel where it is large; hidden
     files and those of unfinished writes (names that begin with _ or .) are left out, as in all its scans."""
     relative = glob.lstrip("/")
@@ -75,11 +84,11 @@ def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
     files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not any(c in relative for c in SPECIAL + "\\"):
         path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + relative)
-        return [files.makeQualified(path).toString()] if files.exists(path) and files.getFileStatus(path).isFile() else []
+        return Matched([files.makeQualified(path).toString()] if files.exists(path) and files.getFileStatus(path).isFile() else [])
     folder = literal_folder(relative)
     start = files.makeQualified(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + folder) if folder else base)
     if not files.exists(start):
-        return []
+        return Matched([])
     prefix = files.makeQualified(base).toUri().getPath().rstrip("/") + "/"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escaped(start.toString())).inputFiles()
     out = []
@@ -87,7 +96,7 @@ def matching_files(spark: SparkSession, root: str, glob: str) -> list[str]:
         path = unquote(url)
         if pattern.match(urlsplit_path(path)[len(prefix) :]):
             out.append(path)
-    return sorted(out)
+    return Matched(sorted(out), start.toString() if len(out) == len(listed) else None)
 
 
 def urlsplit_path(url: str) -> str:

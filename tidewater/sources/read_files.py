@@ -42,14 +42,18 @@ def build(engine, asked: ReadFiles) -> DataFrame:
     """A scan of the matching files. None matching gives no rows and no columns. Files of different
     schemas are not merged: Spark takes the first file's."""
     connection = engine.connections.use(engine.spark, asked.connection)
-    paths = matching_files(engine.spark, connection.url, asked.glob)
+    matched = matching_files(engine.spark, connection.url, asked.glob)
+    paths = matched.paths
     if not paths:
         return engine.spark.createDataFrame([], T.StructType([]))
     ending = paths[0].rpartition(".")[2].lower()
     # the paths are found already: what Spark's own globs would take for patterns is escaped
-    paths = [escaped(p) for p in paths]
     reader = engine.spark.read
-    if ending in FORMATS and all(p.lower().endswith("." + ending) for p in paths):
+    same_ending = all(p.lower().endswith("." + ending) for p in paths)
+    paths = [escaped(p) for p in paths]
+    if matched.folder and len(paths) > 1:  # one path for Spark to list in parallel, however many files there are
+        reader, paths = reader.option("recursiveFileLookup", "true"), [escaped(matched.folder)]
+    if ending in FORMATS and same_ending:
         return reader.format(ending).options(**FORMATS[ending]).load(paths)
     return reader.parquet(*paths)
 
