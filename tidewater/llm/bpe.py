@@ -42,8 +42,10 @@ def later_letters() -> re.Pattern:
     """Letters and numbers of the regex module that the library doesn't know as such: those that Python doesn't know and Unicode 16 hasn't added."""
     known = {c for low, high in ADDED for c in range(low, high + 1)}
     unassigned = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c not in known and unicodedata.category(chr(c)) == "Cn")
-    later = regex.findall(r"[\p{L}\p{N}]+", unassigned)
-    return re.compile("[" + "".join(map(re.escape, later)) + "".join(map(chr, SMALL)) + "]")
+    later = sorted({*"".join(regex.findall(r"[\p{L}\p{N}]+", unassigned)), *map(chr, SMALL)})
+    heads = [c for k, c in enumerate(later) if not k or ord(later[k - 1]) + 1 < ord(c)]
+    tails = [c for k, c in enumerate(later) if k + 1 == len(later) or ord(c) + 1 < ord(later[k + 1])]
+    return re.compile("[" + "".join(f"{a}-{b}" for a, b in zip(heads, tails, strict=True)) + "]")
 
 
 def byte_letters() -> list[str]:
@@ -143,25 +145,29 @@ class Vocabulary:
             out[ranges(at[n], s)] = x
         return out, count
 
-    def words_of(self, text: str) -> list[str]:
+    def words_of(self, text: str, later: bool = False) -> list[str]:
+        """The words of a text; ``later``: for texts with letters that the library takes for symbols."""
         if text.isascii():
             return self.pattern.findall(text.lower())
         if not unicodedata.is_normalized("NFC", text):
             text = APART.join(unicodedata.normalize("NFC", part) for part in text.split(APART))
         text = text.replace("Σ", "σ").lower()  # letters are lower-cased one by one: no final sigma
-        if not self.later.search(text):
+        if not later:
             return self.pattern.findall(text)
         text = text.translate(SMALL)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(self.later.sub(PRIVATE, text))]
 
-    def pieces(self, text: str) -> list[str | int]:
+    def pieces(self, text: str, later: bool = False) -> list[str | int]:
         if self.split_added is None or "<" not in text:
-            return self.words_of(text)
+            return self.words_of(text, later)
         out: list[str | int] = []
         for part in self.split_added.split(text):
-            out += [self.added[part]] if part in self.added else self.words_of(part)
+            out += [self.added[part]] if part in self.added else self.words_of(part, later)
         return out
 
+    def has_later(self, word: str | int) -> bool:
+        return isinstance(word, str) and not word.isascii() and self.later.search(word) is not None
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of all texts, end to end, and how many each text has."""
         pieces = [self.pieces(t) for t in texts]
@@ -169,12 +175,17 @@ class Vocabulary:
             self.forget()
         known = self.known
         fresh = list({w for p in pieces for w in p if w not in known})
+        # letters that the library doesn't know are looked for in new words only; words with them are never remembered
+        odd = {w for w in fresh if self.has_later(w)}
+        if odd:
+            pieces = [self.pieces(t, True) if not odd.isdisjoint(p) else p for t, p in zip(texts, pieces, strict=True)]
+            fresh = list({w for p in pieces for w in p if w not in known})
         if fresh:
             own = [w for w in fresh if isinstance(w, str)]
             ids, counts = self.merge(own) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             whole = [w for w in fresh if not isinstance(w, str)]
             ids, counts = np.append(ids, np.array(whole, np.int64)), np.append(counts, np.ones(len(whole), np.int64))
-            base = len(known)
+            base = len(self.at)
             for k, w in enumerate(own + whole):
                 known[w] = base + k
             self.at = np.append(self.at, len(self.flat) + np.cumsum(counts) - counts)
@@ -182,6 +193,8 @@ class Vocabulary:
             self.flat = np.append(self.flat, ids)
         n = np.array([len(p) for p in pieces], np.int64)
         codes = np.fromiter((known[w] for p in pieces for w in p), np.int64, int(n.sum()))
+        for w in [w for w in fresh if self.has_later(w)] if odd else []:
+            del known[w]
         sizes = self.count[codes]
         ids = self.flat[ranges(self.at[codes], sizes)]
         total = np.concatenate(([0], np.cumsum(sizes)))
