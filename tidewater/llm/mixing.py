@@ -159,3 +159,19 @@ def mixed_documents(docs: DataFrame, block: int = 4096) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_mixing that SQL states: sizes and targets, these rounded to words."""
+    return op3_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.floor(F.col("target") + 0.5).cast("long").alias("target_words"))
+
+
+MIXING_TARGETS_SQL = r"""
+WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::DOUBLE AS cap, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM sizes GROUP BY source),
+levels AS (SELECT a.source, (any_value(t.n) - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0)) / sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight) AS level, any_value(a.cap / a.weight) AS full_at
+           FROM sources a, sources b, (SELECT sum(source_size)::DOUBLE AS n FROM sources) t GROUP BY a.source, a.cap, a.weight),
+top AS (SELECT max(level) AS level FROM levels WHERE full_at >= level)
+SELECT d.doc_id, d.size, s.source_size, floor(least(s.cap, coalesce(top.level * s.weight, s.cap)) + 0.5)::BIGINT AS target_words
+FROM sizes d JOIN sources s ON s.source IS NOT DISTINCT FROM d.source, top
+"""

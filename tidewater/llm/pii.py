@@ -178,3 +178,29 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         n_all.alias("n_spans"),
         (n_all > 0).alias("has_pii"),
     )
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_pii that SQL states: the base kinds."""
+    return op4_pii(spark, sf_dir).select("doc_id", *[f"n_{kind}" for kind in BASE], "base_sha256")
+
+
+PII_BASE_SQL = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, 1 AS k, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS p FROM texts
+  UNION ALL SELECT doc_id, 2, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), regexp_split_to_array(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM texts
+  UNION ALL SELECT doc_id, 3, regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), regexp_split_to_array(t, '[0-9](?:[\x20-]?[0-9])+') FROM texts
+  UNION ALL SELECT doc_id, 4, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM texts),
+matches AS (SELECT doc_id, k, unnest(m) AS s, unnest(p[1:len(m)]) AS before, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+placed AS (SELECT doc_id, k, s, sum(length(before) + length(s)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e, regexp_replace(s, '[^0-9]', '', 'g') AS d FROM matches),
+valid AS (
+  SELECT doc_id, k, e - length(s) AS b, e FROM placed
+  WHERE k = 1
+     OR (k = 2 AND len(list_filter(string_split(s, '.'), lambda q: length(ltrim(q, '0')) > 3 OR coalesce(try_cast(right(q, 3) AS INTEGER), 0) > 255)) = 0)
+     OR (k = 3 AND length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(0, length(d)), lambda j: CASE WHEN j % 2 = 0 THEN d[length(d) - j]::INTEGER ELSE 2 * d[length(d) - j]::INTEGER - CASE WHEN d[length(d) - j]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0)
+     OR (k = 4 AND length(d) BETWEEN 9 AND 15))
+SELECT t.doc_id, count(*) FILTER (v.k = 1) AS n_email, count(*) FILTER (v.k = 2) AS n_ip, count(*) FILTER (v.k = 3) AS n_card, count(*) FILTER (v.k = 4) AS n_phone,
+       sha256(coalesce(string_agg(['email', 'ip', 'card', 'phone'][v.k] || ':' || v.b || ':' || v.e, ',' ORDER BY v.k, v.b), '')) AS base_sha256
+FROM texts t LEFT JOIN valid v ON v.doc_id = t.doc_id GROUP BY t.doc_id
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_blocks import op6_html
-from .mixing import op3_mixing
+from .mixing import MIXING_TARGETS_SQL, mixing_targets, op3_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
-from .pii import op4_pii
+from .pii import PII_BASE_SQL, op4_pii, pii_base_spans
 from .quality import op8_quality
 from .substrings import OP10_SQL, op10_substrings
 from .topk import OP2_SQL, op2_topk
@@ -24,5 +24,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_substrings": op10_substrings,
+    "mixing_targets": mixing_targets,
+    "pii_base_spans": pii_base_spans,
 }
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op9_near_dedup": OP9_SQL, "op10_substrings": OP10_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_topk": OP2_SQL, "op9_near_dedup": OP9_SQL, "op10_substrings": OP10_SQL, "mixing_targets": MIXING_TARGETS_SQL, "pii_base_spans": PII_BASE_SQL}
