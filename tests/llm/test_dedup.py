@@ -108,7 +108,7 @@ def test_hot_keys(docs_of, monkeypatch):
     found = common.hot_keys
     monkeypatch.setattr(near_dedup, "hot_keys", lambda table, key, n=None: seen.append((key, len(out := found(table, key, n)))) or out)
     got = near_duplicates(docs_of(rows), shingle=3, percent=85).collect()
-    assert {"band", "a", "u", "c", "comp", "digest"} <= {key for key, n in seen if n}
+    assert {"band", "hub", "a", "u", "c", "comp", "digest"} <= {key for key, n in seen if n}
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 3, 85)
 
 

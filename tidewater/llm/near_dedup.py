@@ -224,12 +224,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = save(spread_join(sized, hubs, "band", hot_bands).select("band", "digest", "n", "hub"), "near-members")
     discard(sized)
     about = classes.select("digest", "n", "sketch")
-    met = save(members.where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct(), "near-pairs")
-    sketched = spread_join(met, about.toDF("a", "a_n", "a_s"), "a", hot_keys(met, "a")).join(about.toDF("b", "b_n", "b_s"), "b")
+    met = members.where("digest != hub").select(F.col("hub").alias("a"), F.col("digest").alias("b")).distinct()
+    sketched = spread_join(met, about.toDF("a", "a_n", "a_s"), "a", hot_keys(members, "hub")).join(about.toDF("b", "b_n", "b_s"), "b")
     first = save(sketched.where(may_be_similar(F.col("a_n"), F.col("b_n"), F.col("a_s"), F.col("b_s"), percent)).select("a", "b"), "near-pairs")
     links = confirm(first, classes, rows, shingle, percent)
     label = components(links)
-    discard(met, first, links)
+    discard(first, links)
 
     # what is left: pairs of different components in one bucket
     labelled = save(members.join(label.select(F.col("v").alias("digest"), "c"), "digest", "left").select("band", "digest", "n", "hub", F.coalesce("c", "digest").alias("comp")), "near-members")
@@ -266,10 +266,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = label.select("v", "c")
     ends = spread_join(more, named.toDF("a", "ca"), "a", hot_keys(more, "a"), "left")
     over = save(ends.join(named.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b"), "near-links")
-    joined = components(over)
-    alone = over.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(named, "v", "left_anti").withColumn("c", F.col("v"))
-    all_labels = save(named.unionByName(alone), "near-labels")
-    final = spread_join(all_labels, joined.select(F.col("v").alias("c"), F.col("c").alias("cc")), "c", hot_keys(all_labels, "c"), "left").select(F.col("v").alias("digest"), F.coalesce("cc", "c").alias("comp"))
+    if over._tidewater_counts["rows"]:
+        joined = components(over)
+        alone = over.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(named, "v", "left_anti").withColumn("c", F.col("v"))
+        further = joined.select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        named = spread_join(named.unionByName(alone), further, "c", hot_keys(label, "c"), "left").select("v", F.coalesce("cc", "c").alias("c"))
+    final = named.select(F.col("v").alias("digest"), F.col("c").alias("comp"))
 
     # the smallest identifier of each component, and the smallest text key under it
     owned = save(classes.join(final, "digest", "left").select("digest", "id", "tkey", F.coalesce("comp", "digest").alias("comp")), "near-owned")
@@ -287,7 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if with_rows:
         columns += [F.col("tkey").alias("text_key"), (kept & (F.col("tkey") == F.col("component_key"))).alias("chosen")]
     result = save(out.select(*columns), "near-result")
-    discard(table, classes, label, more, over, joined, all_labels, owned)
+    discard(table, classes, label, more, over, owned, *([joined] if over._tidewater_counts["rows"] else []))
     return result
 
 
