@@ -17,6 +17,8 @@ from .common import identifier, ship
 
 #: About how many bytes of packed strings a bucket holds.
 BUCKET_BYTES = 8 << 20
+#: Bytes of texts whose strings a worker holds before it packs them: the more, the more strings of one bucket are compressed together.
+HELD_BYTES = 24 << 20
 #: About how long a packed string is, and how much longer the packed strings of a text are than the text.
 STRING_BYTES, STRINGS_A_TEXT = 120, 3.4
 #: Documents that hot minimisers are looked for in, about, and how many of them must have one at least.
@@ -103,8 +105,11 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
 
     Within a chunk, equal super-k-mers travel once, with the smallest identifier: for the others the answer is
     known, every window of theirs starts in that document too. So a passage in a third of all documents
-    sends one string per chunk.
+    sends one string per chunk. Strings are kept as places in the texts until HELD_BYTES of these have come together, then packed by bucket.
     """
+    held: list[tuple[np.ndarray, ...]] = []
+    texts: list[np.ndarray] = []
+    size = 0
     for batch in chunks(batches, "text"):
         data, offsets = text_bytes(batch.column(2))
         none = batch.column(0).field("none").to_numpy(zero_copy_only=False).astype(np.int8)
@@ -144,19 +149,29 @@ def cut(batches: Iterator[pa.RecordBatch], length: int, minimiser: int, n_bucket
         places = np.cumsum(sizes) - sizes
         joined[places + sizes - 1] = 32
         byte_at = np.append(places, len(joined))
-        going = np.flatnonzero(travels)
-        going = going[np.argsort(bucket[going], kind="stable")]
-        low = byte_at[begin[going]]
-        long = byte_at[begin[going] + counts[going]] - low
-        edges = np.flatnonzero(np.append(True, bucket[going][1:] != bucket[going][:-1]))
-        blobs, buckets = [], []
-        for a, b in zip(edges, np.append(edges[1:], len(going)), strict=True):
-            g = going[a:b]
-            blobs.append(pack(none[owner[g]], ids[owner[g]], text_keys[owner[g]], begin[g] - first_word[owner[g]], counts[g], long[a:b], gather(joined, low[a:b], long[a:b])))
-            buckets.append(int(bucket[g[0]]))
-        n = len(blobs)
-        blank = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary()), pa.nulls(n, pa.bool_()), blank, blank, blank, blank], names=NAMES)
+        g = np.flatnonzero(travels)
+        o, low = owner[g], byte_at[begin[g]]
+        held.append((bucket[g], none[o], ids[o], text_keys[o], begin[g] - first_word[o], counts[g], byte_at[begin[g] + counts[g]] - low, low + size))
+        texts.append(joined)
+        size += len(joined)
+        if size >= HELD_BYTES:
+            yield packed_batch(held, np.concatenate(texts))
+            held, texts, size = [], [], 0
+    if held:
+        yield packed_batch(held, np.concatenate(texts))
+
+
+def packed_batch(held: list[tuple[np.ndarray, ...]], text: np.ndarray) -> pa.RecordBatch:
+    """One blob for each bucket that has strings here."""
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    bucket, *numbers, low = (c[order] for c in columns)
+    long = numbers[-1]
+    edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    blobs = [pack(*(x[a:b] for x in numbers), gather(text, low[a:b], long[a:b])) for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=True)]
+    n = len(blobs)
+    blank = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges]), pa.array(blobs, pa.binary()), pa.nulls(n, pa.bool_()), blank, blank, blank, blank], names=NAMES)
 
 
 SPAN = ["none", "doc", "key", "from", "to"]
