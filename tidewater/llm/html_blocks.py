@@ -532,7 +532,7 @@ def made_up_page(seed: str) -> tuple[list[Block], np.ndarray]:
 
 
 @functools.lru_cache(2)
-def trained(seed: int = 7, n_pages: int = 2000, rounds: int = 8, rate: float = 0.008, together: int = 60) -> Labeller:
+def trained(seed: int = 7, n_pages: int = 1600, rounds: int = 6, rate: float = 0.01, together: int = 50) -> Labeller:
     """Trains on made-up pages; the same seed gives the same weights, but for the order in which a machine adds."""
     made = [made_up_page(f"{seed}:{k}") for k in range(n_pages)]
     made = [m for m in made if m[0]]
