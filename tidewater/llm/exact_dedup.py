@@ -21,7 +21,8 @@ def splitters_of(sample: DataFrame, key: Column, n_ranges: int) -> tuple[Column,
     sample = sample.select(key.alias("key"))
     found = [r[0] for r in sample.orderBy("key").select(F.to_json("key")).collect()]
     chosen = list(dict.fromkeys(found[i * len(found) // n_ranges] for i in range(1, n_ranges) if found))
-    return F.from_json(F.lit("[" + ",".join(chosen) + "]"), f"array<{sample.schema['key'].dataType.simpleString()}>"), len(chosen)
+    parsed = F.from_json(F.lit("[" + ",".join(chosen) + "]"), f"array<{sample.schema['key'].dataType.simpleString()}>")
+    return F.sort_array(parsed), len(chosen)  # a key that JSON doesn't give back as it was may have moved
 
 
 def range_of(key: Column, splitters: Column, n: int) -> Column:
