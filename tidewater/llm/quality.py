@@ -15,6 +15,8 @@ from .common import fresh, ship
 
 #: Most labelled texts that the trees are fitted on: those of least hash.
 TRAINING_ROWS = 20_000
+#: Bytes of texts measured at once: each takes some 50 bytes of memory.
+PIECE = 1 << 20
 #: From this score on a document is predicted to be of good quality.
 THRESHOLD = 0.3
 
@@ -178,14 +180,14 @@ def fit_trees(x: np.ndarray, y: np.ndarray, n_trees: int = 120, depth: int = 4,
 
 def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, doc_id, tkey, text) to (label, doc_id, tkey, x), the text's statistics."""
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", PIECE):
         x = statistics(batch.column(3))
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())], names=["label", "doc_id", "tkey", "x"])
 
 
 def apply(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator[pa.RecordBatch]:
     trees = shared.value
-    for batch in chunks(batches, text_col):
+    for batch in chunks(batches, text_col, PIECE):
         score = trees.score(statistics(batch.column(batch.schema.get_field_index(text_col))))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
 
