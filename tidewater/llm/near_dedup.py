@@ -20,7 +20,7 @@ SAMPLES = BANDS * ROWS
 #: of similarity 0.85 differ in more than 33 of 80 samples with a probability below 1e-7.
 SKETCH_BITS, MOST_BITS = 512, 66
 #: Members of a star that one group verifies; members of a bucket, and shingles in them, that one block compares.
-STAR, BLOCK, BLOCK_SHINGLES = 512, 256, 1 << 20
+STAR, BLOCK, BLOCK_SHINGLES = 128, 256, 1 << 20
 
 
 def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
