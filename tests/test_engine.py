@@ -130,6 +130,23 @@ def test_globs(engine, tmp_path):
     assert values(engine.sql("select anything from read_files('none/*.parquet') where x > 1 order by y")) == []
 
 
+def test_a_folder_stands_for_its_files(engine, tmp_path):
+    """As tables that Spark has written do."""
+    for k in range(3):
+        put(tmp_path, f"vectors.parquet/part-{k}.parquet", n=[k], v=[[k + 0.5, 1.0]])
+    put(tmp_path, "vectors.parquet/more/part-3.parquet", n=[3], v=[[3.5]])
+    put(tmp_path, "one/one.parquet/part-0.parquet", n=[7], v=[[7.5]])
+    (tmp_path / "vectors.parquet/_SUCCESS").touch()
+    (tmp_path / "empty.parquet").mkdir()
+    found = lambda g: sorted(r[0] for r in values(engine.sql(f"select n from read_files('{g}')")))
+    for glob in ("vectors.parquet", "vectors.parquet/", "/vectors.parquet", "{vectors,nothing}.parquet/", "*ectors.parquet", "v?ctors.parquet"):
+        assert found(glob) == [0, 1, 2, 3], glob
+    assert found("one/one.parquet") == found("*/one.parquet") == [7] and found("vectors.parquet/more") == [3]
+    assert values(engine.sql("select * from read_files('vectors.parquet') where n = 3")) == [(3, [3.5])]
+    for glob in ("empty.parquet", "vectors", "vectors.parque?/x", "{v,vectors}"):
+        assert engine.sql(f"select * from read_files('{glob}')").columns == []
+
+
 @pytest.mark.parametrize("call", ["read_files()", "read_files(x)", "read_files(1)", "read_files('a', 'b')", "read_files('a', conn => 'b')", "read_files('a', connection => 1)", "read_files('a', connection => 'b', c => 'd')", "read_files('a[')", "read_files('{a')"])
 def test_wrong_arguments(engine, call):
     with pytest.raises(errors.FunctionArgumentError):

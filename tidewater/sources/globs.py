@@ -24,6 +24,7 @@ def literal_folder(glob: str) -> str:
 
 
 def glob_regex(glob: str) -> re.Pattern[str]:
+    """Matches paths of files that are as the glob says, or that lie in a folder whose path is."""
     out, depth, k = [], 0, 0
     while k < len(glob):
         c = glob[k]
@@ -57,7 +58,7 @@ def glob_regex(glob: str) -> re.Pattern[str]:
             out.append(re.escape(c))
     if depth:
         raise FunctionArgumentError(f"a {{ without its }} in {glob!r}")
-    return re.compile("".join(out) + r"\Z", re.S)
+    return re.compile("".join(out) + r"(?:/.*)?\Z", re.S)
 
 
 def escaped(path: str) -> str:
@@ -74,27 +75,27 @@ class Matched:
 
 
 def matching_files(spark: SparkSession, root: str, glob: str) -> Matched:
-    """The files under root whose path from there matches. A path without special characters is just
-    looked up. Otherwise Spark lists one folder tree, the one that all matches are in, in parallel where it is large; hidden
-    files and those of unfinished writes (names that begin with _ or .) are left out, as in all its scans."""
-    relative = glob.lstrip("/")
+    """The files under root whose path from there matches, or that of a folder they are in: a table may be a folder of files.
+    A file's path without special characters is just looked up. Otherwise Spark lists one folder tree, the one that all matches
+    are in, in parallel where it is large; hidden files and those of unfinished writes (names that begin with _ or .) are left out, as in all its scans."""
+    relative = glob.strip("/")
     pattern = glob_regex(relative)
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not any(c in relative for c in SPECIAL + "\\"):
-        path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + relative)
-        return Matched([files.makeQualified(path).toString()] if files.exists(path) and files.getFileStatus(path).isFile() else [])
-    folder = literal_folder(relative)
+    literal = not any(c in relative for c in SPECIAL + "\\")
+    folder = relative if literal else literal_folder(relative)
     start = files.makeQualified(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + folder) if folder else base)
     if not files.exists(start):
         return Matched([])
+    if literal and files.getFileStatus(start).isFile():
+        return Matched([start.toString()])
     prefix = files.makeQualified(base).toUri().getPath().rstrip("/") + "/"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escaped(start.toString())).inputFiles()
     out = []
     for url in listed:
         path = unquote(url)
-        if pattern.match(urlsplit_path(path)[len(prefix) :]):
+        if literal or pattern.match(urlsplit_path(path)[len(prefix) :]):
             out.append(path)
     return Matched(sorted(out), start.toString() if len(out) == len(listed) else None)
 
