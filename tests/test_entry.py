@@ -8,6 +8,8 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -41,6 +43,20 @@ def test_query(spark, duck, name):
     assert plain(df.select(*[f"`{c}`" for c in found.columns]).collect()) == plain(found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["nested_pass", "spark_nested"])
+def test_tables_of_several_files(spark, tmp_path, name):
+    """A table may be a folder of part files; vectors may be null or hold nulls."""
+    for k in range(3):
+        vectors = pa.table({"vec_id": [2 * k, 2 * k + 1], "embedding": pa.array([[k + 0.5, None, 2.0], [[None, 1.0], None, [7.0]][k]], pa.list_(pa.float32())), "label": pa.array([k, None], pa.int32())})
+        (tmp_path / "embeddings.parquet").mkdir(exist_ok=True)
+        pq.write_table(vectors, tmp_path / f"embeddings.parquet/part-{k}.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    found = c.sql(ORACLE_SQL.get(name, "select * from embeddings"))
+    df = QUERIES[name](spark, str(tmp_path))
+    assert df.columns == found.columns and plain(df.collect()) == plain(found.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
