@@ -102,6 +102,17 @@ def test_division_of_floats(engine, tmp_path):
                     assert (math.isnan(have) and math.isnan(want)) or have == want, (a, b, have, want)
 
 
+def test_a_zero_divisor_has_a_sign(engine, tmp_path):
+    xs = [None, 0.0, -0.0, 1.0, -1.0, math.nan, math.inf, -math.inf]
+    for kind in (pa.float32(), pa.float64()):
+        put(tmp_path, "z.parquet", i=range(len(xs)), a=pa.array(xs, kind), n=pa.array([-3, -1, 0, 1, 3, None, 2**31 - 1, -(2**31)], pa.int32()))
+        got = values(engine.sql("select a / (a * 0) as p, a / -0.0 as q, 1.0 / -0.0 as r, n / (a * 0) as s, n / -(n * 0.0) as t, a % -0.0 as u from read_files('z.parquet') order by i"))
+        z = f"'{tmp_path}/z.parquet'"
+        want = duckdb.sql(f"select a / (a * 0), a / '-0.0'::FLOAT, 1::FLOAT / '-0.0'::FLOAT, n::FLOAT / (a * 0), n::FLOAT / -(n::FLOAT * 0), a % '-0.0'::FLOAT from {z} order by i").fetchall()
+        assert repr(got) == repr(want), kind
+        assert got[3][1] == -math.inf and got[4][1] == math.inf and got[4][3] == -math.inf and got[3][2] == -math.inf
+
+
 def test_nulls_and_order(engine, tmp_path):
     put(tmp_path, "o.parquet", k=pa.array([3, None, 1, 2, None], pa.int32()), v=[1, 2, 3, 4, 5])
     assert [r[0] for r in values(engine.sql("select v from read_files('o.parquet') order by k, v desc"))] == [5, 2, 3, 4, 1]

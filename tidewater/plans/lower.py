@@ -86,7 +86,7 @@ def guarded(left: Column, right: Column, at_zero: Column, otherwise: Column) ->
 def divide(left: Column, right: Column, kind: T.DataType) -> Column:
     if is_integer(kind):
         return F.call_function("div", left, right).cast(kind)
-    at_zero = F.when((left == 0) | F.isnan(left), float("nan")).when(left > 0, float("inf")).otherwise(float("-inf"))
+    at_zero = left * F.pow(right, F.lit(-1.0))  # an infinity of the zero's sign, which 0 and NaN make NaN
     return guarded(left, right, at_zero.cast(kind), (left / right).cast(kind)).cast(kind)
 
 
