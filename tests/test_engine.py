@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
 
 from tidewater import errors
 from tidewater.engine import Engine
@@ -185,6 +186,32 @@ def test_spark_sql(cost):
     assert got == [(True, 40), (False, 60)]
 
 
+def test_spark_sql_index_beyond_the_end(engine, tmp_path):
+    rows = [[[1, 2], [[5], []], "p,q", 3], [[], [], "", 1], [None, None, None, 0]]
+    put(tmp_path, "a.parquet", k=range(3), a=[r[0] for r in rows], b=[r[1] for r in rows], s=[r[2] for r in rows], n=[r[3] for r in rows])
+    t = "read_files('a.parquet')"
+    for what, want in {
+        "a[0]": [1, None, None], "a[n - 2]": [2, None, None], "t.a [ 0 ]": [1, None, None], "(a)[1] + 1": [3, None, None], "b[0][0]": [5, None, None], "b[1][0]": [None] * 3, "a[a[0] + a[7]]": [None] * 3, "a[a[0]]": [2, None, None],
+        "split(s, ',')[1]": ["q", None, None], "split(s, ',')[1] is null": [False, True, True], "transform(b, x -> x[0])[0]": [5, None, None], "array(1, 2)[n]": [None, 2, 1], "case when (a)[0] = 1 then a[9] else a[0] end": [None] * 3,
+        "map('x', 1)['x']": [1] * 3, "map(1, a)[1][0]": [1, None, None], "map('x', a[5], 'y', 7)['y']": [7] * 3, "named_struct('v', a).v[0]": [1, None, None], "array(named_struct('v', n))[2].v": [None] * 3, "array(named_struct('v', n))['v'][5]": [None] * 3, """array(named_struct('v', n))["v"] is null or a[5] = 1""": [None] * 3,
+        "'a[0]' || `s`": ["a[0]p,q", "a[0]", None], "map(1, 2)[1] + a[0]": [3, None, None],
+    }.items():
+        assert [r[0] for r in values(engine.spark_sql(f"select {what} as x from {t} t order by k -- a[0]"))] == want, what
+    df = engine.spark_sql(f"select a[0], a[1] as y, map(1, n)[1] from {t} order by a[0] nulls last, k;")
+    assert df.columns == ["a[0]", "y", "map(1, n)[1]"] and values(df) == [(1, 2, 3), (None, None, 1), (None, None, 0)]
+    grouped = engine.spark_sql(f"with g as (select a[0] first, count(*) n from {t} group by a[0]) select n, first from g order by first")
+    assert values(grouped) == [(2, None), (1, 1)]
+    assert values(engine.spark_sql(f"select k from {t} where (select max(a[1]) from {t}) = 2 and b[0] is null order by k")) == [(1,), (2,)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):  # all else is as Spark has it
+        engine.spark_sql(f"select a[0], 1 / (n - 1) from {t}").collect()
+    with pytest.raises(AnalysisException):
+        engine.spark_sql(f"select n[0] from {t}")
+    engine.spark_sql("create table tidewater_once using parquet as select array(1)[0] as x")
+    engine.spark_sql("insert into tidewater_once select array(2)[0]")
+    assert sorted(values(engine.spark_sql("select x from tidewater_once"))) == [(1,), (2,)]
+    engine.spark_sql("drop table tidewater_once")
+
+
 def test_random_expressions_against_duckdb(engine, tmp_path):
     rng = random.Random(7)
     n = 200

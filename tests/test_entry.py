@@ -57,6 +57,17 @@ def test_tables_of_several_files(spark, tmp_path, name):
     assert df.columns == found.columns and plain(df.collect()) == plain(found.fetchall())
 
 
+@pytest.mark.parametrize("name", ["nested_pass", "spark_nested"])
+def test_vectors_without_elements(spark, tmp_path, name):
+    vectors = pa.table({"vec_id": range(5), "embedding": pa.array([[], None, [None], [1.5], [math.nan, -0.0]], pa.list_(pa.float32())), "label": pa.array([1, None, 2, 3, 4], pa.int32())})
+    pq.write_table(vectors, tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    found = c.sql(ORACLE_SQL.get(name, "select * from embeddings"))
+    df = QUERIES[name](spark, str(tmp_path))
+    assert df.columns == found.columns and plain(df.collect()) == plain(found.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())

@@ -9,6 +9,7 @@ import uuid
 from dataclasses import dataclass
 from enum import Enum
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -18,7 +19,7 @@ from .operators.results import START, Cursor, Page, Pager, Result, write_result
 from .plans.ir import Select
 from .plans.parser import Parser, parse
 from .plans.planner import plan
-from .plans.tokens import tokenize
+from .plans.tokens import Subscript, subscripts, tokenize, with_get
 from .session import create_session
 from .sources.connections import Connection, Connections, FileConnection
 from .sources.read_files import READ_FILES
@@ -173,7 +174,8 @@ class Engine:
 
     def spark_sql(self, text: str) -> DataFrame:
         """Any query of Spark's SQL, with its own semantics, in which read_files(...) and other table functions of the
-        engine may stand where a table may: joins, aggregates, windows, set operations and functions."""
+        engine may stand where a table may: joins, aggregates, windows, set operations and functions. An index beyond an
+        array's end gives null in queries, but after the operands that subscripts() leaves out."""
         tokens, out, at, k = tokenize(text), [], 0, 0
         while k < len(tokens):
             token = tokens[k]
@@ -195,7 +197,33 @@ class Engine:
                 at, k = tokens[end].end, end
             k += 1
         out.append(text[at:])
-        return self.spark.sql(re.sub(r";\s*\Z", "", "".join(out)))
+        return self._lenient(re.sub(r";\s*\Z", "", "".join(out)))
+
+    def _lenient(self, text: str) -> DataFrame:
+        """Runs the text with get(a, i) for each a[i] in which Spark finds an array: all of them if it takes that, else one by one,
+        since a may be a map. What it doesn't take with the same types of columns stays as it is, and so does a command."""
+        found = subscripts(text)
+        asked = self._analysed(text) if found else None
+        if asked is None:
+            return self.spark.sql(text)
+
+        def fits(chosen: list[Subscript]) -> bool:
+            df = self._analysed(with_get(text, chosen))
+            return df is not None and [kind for _, kind in df.dtypes] == [kind for _, kind in asked.dtypes]
+
+        chosen = found if fits(found) else []
+        for s in found if not chosen else []:
+            if fits([*chosen, s]):
+                chosen.append(s)
+        df = self.spark.sql(with_get(text, chosen))
+        return df if df.columns == asked.columns else df.toDF(*asked.columns)
+
+    def _analysed(self, text: str) -> DataFrame | None:
+        """A query, of which nothing runs; none if Spark refuses it or it is a command, which can't stand in parentheses."""
+        try:
+            return self.spark.sql(f"select * from ({text}\n)")
+        except PySparkException:
+            return None
 
     def _knows(self, name: str) -> bool:
         try:
